@@ -16,6 +16,15 @@ URL_RULES = [  # fixed values: host, path, verdict
 ]
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from policylog.llm.token_store import scan_store, write_store
+
+    folder = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cut="leading", end_id=0)
+    return scan_store(spark, folder)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from policylog.llm.url_filter import match_rules
 
@@ -23,6 +32,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from policylog.llm.token_counts import count_tokens
+
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "leading")
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from policylog.llm.simhash import cluster
+
+    found = cluster(table(spark, sf_dir, "documents"), shingle=4, budget=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from policylog.llm.exact_dedup import mark_duplicates
 
@@ -34,7 +59,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_token_store": op2_token_store,
         "op4_url_filter": op4_url_filter,
+        "op6_token_counts": op6_token_counts,
+        "op7_simhash": op7_simhash,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
