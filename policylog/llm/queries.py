@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylog.llm.common import table, text_or_empty
+from policylog.llm.common import crc_mod, table, text_or_empty
 
 URL_RULES = [  # fixed values: host, path, verdict
     ("com", "/", "allow"),
@@ -16,6 +16,15 @@ URL_RULES = [  # fixed values: host, path, verdict
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from policylog.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(crc_mod("doc_id", 4) != 2))
+    found = identify(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +34,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_store(spark, folder)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from policylog.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from policylog.llm.url_filter import match_rules
 
@@ -32,6 +47,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_rules(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from policylog.llm.packing import pack, tokenise_pieces
+
+    pieces = tokenise_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cut="dropped", end_id=2)
+    return pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,13 +81,44 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.join(digests, "doc_id")
 
 
+def _span_list(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from policylog.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(_span_list(base), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from policylog.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    scored = score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_token_store": op2_token_store,
+        "op3_decontaminate": op3_decontaminate,
         "op4_url_filter": op4_url_filter,
+        "op5_packing": op5_packing,
         "op6_token_counts": op6_token_counts,
         "op7_simhash": op7_simhash,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_pii": op9_pii,
+        "op10_quality": op10_quality,
     }
 
 

@@ -41,27 +41,38 @@ def shingles_of(words: list[bytes], size: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Bit i is set if it is set in over half of the shingles' XXH64 values; a text without words has 0."""
+def signature(text: str | None, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """So many 64-bit words: the fingerprint, in which bit i is set if it is set in over half of the shingles' XXH64
+    values, then the same for values mixed from these. A text without words has zeros."""
     from xxhash import xxh64_intdigest as digest
 
     parts = shingles_of(words_of(text), shingle)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((words, 64), np.int64)
     for at in range(0, len(parts), _CHUNK):
         hashes = np.array([digest(x, SEED) for x in parts[at : at + _CHUNK]], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(parts), bitorder="little").view(np.uint64)[0])
+        for k in range(words):
+            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if k + 1 < words:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(29)
+    return np.packbits(ones * 2 > len(parts), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return int(signature(text, shingle)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) for each row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) and more (array of further words) for each row; a null text
+    counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            made = np.array([signature(x.as_py(), shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words).view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * (words - 1), pa.int32()), pa.array(made[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[:, 0]), more], ["doc_id", "fp", "more"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, more array<long>")
 
 
 def block_masks(budget: int, interleaved: bool = False) -> list[int]:
@@ -207,6 +218,17 @@ def fingerprint_links(fps: DataFrame, budget: int, masks: list[int] | None = Non
     return dealt.mapInArrow(_joined(budget), "u long, v long")
 
 
+def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """marked (doc_id, fp) with component_id: the smallest id among the fingerprints that the links (u, v) connect."""
+    reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    roots = connected_components(links)
+    linked = roots.join(reps, F.col("node") == F.col("fp")).select("node", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "at")
+    linked = linked.join(least, F.col("root") == F.col("at")).select("node", "component")
+    owners = reps.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own"), F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(owners, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the smallest id that links reach, its own included).
 
@@ -214,11 +236,41 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     null id get the component of their fingerprint but never name one. Repeated rows are returned as often as they
     occur; an empty table gives no rows; other columns are ignored.
     """
-    marked = settle(fingerprints(docs, id_col, text_col, shingle))
-    reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(fingerprint_links(reps, budget))
-    linked = roots.join(reps, F.col("node") == F.col("fp")).select("node", "root", "rep")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "at")
-    linked = linked.join(least, F.col("root") == F.col("at")).select("node", "component")
-    owners = reps.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(owners, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
+    marked = settle(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
+    return _components(marked, fingerprint_links(marked, budget))
+
+
+#: Words of a signature, the least agreement of fingerprints, and sampled keys in near_duplicates.
+WORDS, AGREE, KEYS = 5, 0.8, 64
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id, where rows link whose shingle sets have an estimated Jaccard
+    similarity of at least similarity. Edge cases as in cluster.
+
+    At that similarity fingerprints may differ in many bits. Candidates agree on 80 % of the bits and meet under a block
+    mask of budget 4 (so that none with up to 4 differing bits is lost) or one of so many random masks of log2(n) bits (a
+    pair at the threshold meets in about 95 of 100 cases, a closer one almost surely; the number of chance meetings per
+    fingerprint doesn't grow with n). They are settled on the whole signature: the bits that differ estimate the angle
+    between two shingle sets and so their Jaccard similarity, with one standard error of leniency.
+    """
+    marked = settle(fingerprints(docs, id_col, text_col, shingle, WORDS))
+    owns = marked.groupBy("fp").agg(F.min("more").alias("more"))
+    bits = max(8, int(np.ceil(np.log2(max(owns.count(), 2)))))
+    masks = block_masks(4) + sampled_masks(keys, min(bits, 32))
+    pairs = fingerprint_links(marked, int((1 - AGREE) * 64), masks).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    left, right = (owns.select(F.col("fp").alias(f"{x}_fp"), F.col("more").alias(f"{x}_more")) for x in "uv")
+    pairs = pairs.join(left, F.col("u") == F.col("u_fp")).join(right, F.col("v") == F.col("v_fp"))
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) + F.aggregate(F.zip_with("u_more", "v_more", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(cosine) / np.pi)
+    most = 64 * WORDS * share + (64 * WORDS * share * (1 - share)) ** 0.5
+    return _components(marked.select("doc_id", "fp"), settle(pairs.where(apart <= most).select("u", "v")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one with the smallest id; all columns stay. Rows with a
+    null id stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle, similarity)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
