@@ -1,7 +1,7 @@
 """Whole texts to token ids with the tokenizers library, each distinct piece encoded once per worker.
 
 A text is cut where its tokens can't reach across, the library encodes each distinct piece, and a text's ids are its
-pieces' ids in a row. That gives the library's ids at a fraction of its time, as words repeat. Two ways of cutting:
+pieces' ids in a row. That gives the library's ids at a fraction of its time, as words repeat. Both ways are for byte-level models:
 
 * ``leading``: byte-level BPE, whose pre-tokenizer joins one space to the word that follows and never joins a character
   to white space after it. A cut is made before each run of white space that begins with a space or a line feed.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -49,24 +50,45 @@ def pieces_dropped(text: str) -> list[str]:
 
 CUTS = {"leading": (pieces_leading, text_of_leading), "dropped": (pieces_dropped, str)}
 _MADE: dict[tuple, PieceEncoder] = {}
+#: A word of common letters with punctuation behind it: two pre-tokens in either way of cutting.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level tokenizers write for each byte: itself where printable, else one from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+class _Cache(dict):
+    """Pieces' ids as bytes; a missing piece is encoded and kept."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
 
 
 class PieceEncoder:
     """ids of texts as little-endian unsigned integers of ``width`` bytes (2 where the vocabulary allows)."""
 
-    def __init__(self, path: str, cut: str, cache_pieces: int = 600_000):
+    def __init__(self, path: str, cut: str, cache_pieces: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces, self.text_of = CUTS[cut]
+        self.cut, (self.pieces, self.text_of) = cut, CUTS[cut]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self._make)
         self.cache_pieces = cache_pieces
         self.checked = 0
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     @classmethod
     def get(cls, path: str, cut: str) -> PieceEncoder:
@@ -74,26 +96,48 @@ class PieceEncoder:
             _MADE[path, cut] = cls(path, cut)
         return _MADE[path, cut]
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        out = []
-        for at in range(0, len(pieces), 4096):
-            made = self.tokenizer.encode_batch_fast([self.text_of(p) for p in pieces[at : at + 4096]], add_special_tokens=False)
-            out += [x.ids for x in made]
-        return out
+    def _make(self, piece: str) -> bytes:
+        """A plain word goes to the library's model as it is, without its pre-tokenizer; the punctuation behind it, and a
+        line feed in front, are pieces of their own."""
+        head, body = "", piece
+        if self.cut == "leading":
+            if piece[:1] == "\n":
+                return self.cache["\0\n"] + self.cache["\0" + piece[1:]] if _WORD.fullmatch(piece, 1) else self._encoded(piece)
+            head, body = (" ", piece) if piece[:1] != "\0" else ("", piece[1:])
+        found = _WORD.fullmatch(body)
+        if not found:
+            return self._encoded(piece)
+        word, rest = found.groups()
+        if rest:
+            start = word if head or self.cut == "dropped" else "\0" + word
+            return self.cache[start] + self.cache["\0" + rest if self.cut == "leading" else rest]
+        text = word.lower() if self.cut == "dropped" else head + word
+        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in text.encode()]))]
+        return self._packed(ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _encoded(self, piece: str) -> bytes:
+        return self._packed(self.tokenizer.encode(self.text_of(piece), add_special_tokens=False).ids)
+
+    def _trim(self) -> None:
+        if len(self.cache) > self.cache_pieces:
+            self.cache.clear()
+
+    def sizes(self, pieces: list[str]) -> list[int]:
+        """How many ids each piece has."""
+        self._trim()
+        return [len(self._make(p)) // self.width for p in pieces]
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty. A few short texts are also encoded whole, to prove the cuts right for this file."""
-        cut = [self.pieces(t or "") for t in texts]
-        if len(self.cache) > self.cache_pieces:
-            self.cache.clear()
-        new = list({p for parts in cut for p in parts if p not in self.cache})
-        for piece, ids in zip(new, self.encode_pieces(new), strict=True):
-            self.cache[piece] = np.array(ids, self.dtype).tobytes()
+        self._trim()
         get = self.cache.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
+        out = [b"".join(map(get, self.pieces(t))) if t else b"" for t in texts]
         for text, ids in zip(texts, out):
             if self.checked >= 5:
                 break

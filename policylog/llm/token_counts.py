@@ -55,7 +55,7 @@ def _postings(path: str, cut: str, buckets: int):
         hot = held > max(16, n // HOT_SHARE)
         value = np.zeros(len(pieces), np.int64)
         at = np.flatnonzero(hot).tolist()
-        value[at] = [len(x) for x in encoder.encode_pieces([pieces[i] for i in at])]
+        value[at] = encoder.sizes([pieces[i] for i in at])
         sums = np.bincount(doc, weights=value[code] * times, minlength=n).astype(np.int64)
         packed = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums)], ["doc_id", "n_bytes", "n_tokens"])
         yield _row(block, -1, packed.schema.serialize().to_pybytes(), packed.serialize().to_pybytes(), None, None)
@@ -119,7 +119,7 @@ def _sums(path: str, cut: str, cache_pieces: int = 1_000_000):
                 if len(known) > cache_pieces:
                     known.clear()
                 new = [p for p in pieces if p not in known]
-                known.update(zip(new, map(len, encoder.encode_pieces(new))))
+                known.update(zip(new, encoder.sizes(new)))
                 value = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
                 table = np.frombuffer(zlib.decompress(postings), _POSTING)
                 gain = np.bincount(table["doc"], weights=np.repeat(value, packed.column(1).to_numpy()) * table["n"]).astype(np.int64)
