@@ -29,7 +29,7 @@ BLOCK, RANK, EXTRA = 1_000, 192, 16
 #: Words in more than this share of the documents carry no weight.
 COMMON = 0.05
 #: A candidate's least cosine, and the least share of the passage's latent mass that its window must hold.
-COSINE, HELD = 0.35, 0.35
+COSINE, HELD = 0.15, 0.2
 #: LCS over passage length: from ALIKE on a passage counts as found, from PARAPHRASE on if its answer is there too.
 ALIKE, PARAPHRASE = 0.85, 0.6
 _WORD = re.compile(r"\w+")

@@ -59,8 +59,8 @@ class Model:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_rows: int = TRAINING_ROWS) -> Model:
-    """Counts words and n-grams over a hash sample of about max_rows rows that have text and language, on the executors;
-    only the most frequent of each language come to the driver (WORDS + LONGEST * GRAMS rows a language)."""
+    """Counts the rows that hold a word, and the words that hold an n-gram, over a hash sample of about max_rows rows that
+    have text and language, on the executors; a word that one row repeats counts once, so no row can swamp the others. Only the most frequent of each language come to the driver (WORDS + LONGEST * GRAMS rows a language)."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = known.count()
     share = int(min(1.0, max_rows / max(total, 1)) * (1 << 20))
@@ -77,7 +77,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
-                found[lang, 0].update(words)
+                found[lang, 0].update(words.keys())
                 for n in range(1, LONGEST + 1):
                     found[lang, n].update(g for w in words for g in grams_of(w, n))
                 if sum(map(len, found.values())) > 1_000_000:

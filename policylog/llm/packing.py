@@ -3,12 +3,14 @@
 A document's tokens are cut into full windows and a rest. Rests are binned by length; the histogram of bins has a fixed
 size whatever the corpus. Patterns are all combinations of up to three bins that fill a window exactly. Non-negative
 least squares finds how often to repeat each pattern so that together they use up the histogram; the counts are rounded
-down and what remains is packed greedily, largest first, again on counts only. The plan is then carried out in a
-distributed way: rests are numbered within their bin and look up their sequence by that number.
+down and what remains is packed greedily, largest first, again on counts only. Where whole rests would leave a gap they are
+cut into parts of 2^k bins, which always fit together. The plan is then carried out in a distributed way: rests are numbered
+within their bin and look up their sequence by that number.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ from policylog.llm.common import settle, shuffle_partitions
 
 WINDOW = 4096
 BINS = 256
+#: Bins that a greedily packed sequence of whole rests may leave empty.
+GAP = 2
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer_path: str, cut: str = "dropped", end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,9 +89,25 @@ def nnls(shapes: np.ndarray, histogram: np.ndarray, steps: int = 600) -> np.ndar
     return x * scale
 
 
-def plan(histogram: np.ndarray, bins: int = BINS) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) pairs that use up the histogram exactly; index = bin, bin 0 is ignored. The number of pairs is
-    bounded by the patterns and bins, not by the corpus."""
+def part_sizes(b: int) -> list[int]:
+    """The 2^k bins that a rest of b bins is cut into, largest first."""
+    return [1 << k for k in range(b.bit_length() - 1, -1, -1) if b >> k & 1]
+
+
+def parts_of(length: int, window: int = WINDOW, bins: int = BINS) -> list[tuple[int, int]]:
+    """(start, length) of the parts that a piece would be cut into; only the last may fall short of its bins."""
+    step = -(-window // bins)
+    out, at = [], 0
+    for size in part_sizes(-(-length // step)):
+        out.append((at, min(size * step, length - at)))
+        at += out[-1][1]
+    return out
+
+
+def plan(histogram: np.ndarray, bins: int = BINS) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(pattern, repeats) pairs that use up the histogram exactly, and how many rests of each bin are cut. A pattern holds
+    whole rests as their bins and parts as minus their bins. Index = bin; bin 0 is ignored. The number of pairs is bounded
+    by the patterns and bins, not by the corpus."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     out = []
@@ -101,79 +121,148 @@ def plan(histogram: np.ndarray, bins: int = BINS) -> list[tuple[tuple[int, ...],
         if repeats:
             left[used] -= times * repeats
             out.append((tuple(int(b) for b in shapes[j] if b), repeats))
+    cut = np.zeros_like(left)
     while left.any():
-        room, taken, pattern = bins, np.zeros_like(left), []
-        while True:
-            fits = np.flatnonzero((left - taken)[: room + 1] > 0)
-            if not len(fits):
-                break
-            b = int(fits[-1])
-            pattern.append(b)
-            taken[b] += 1
-            room -= b
-        used = np.flatnonzero(taken)
-        repeats = int((left[used] // taken[used]).min())
-        left[used] -= taken[used] * repeats
-        out.append((tuple(pattern), repeats))
-    return out
+        pattern, repeats, room = _greedy(left, bins)
+        if room > GAP:  # its largest rests go to pieces instead
+            b = pattern[0]
+            cut[b] += left[b]
+            left[b] = 0
+            continue
+        for b in pattern:
+            left[b] -= repeats
+        out.append((pattern, repeats))
+    parts = np.zeros_like(left)
+    for b in np.flatnonzero(cut):
+        parts[part_sizes(int(b))] += cut[b]
+    while parts.any():
+        pattern, repeats, _ = _greedy(parts, bins)
+        for b in pattern:
+            parts[b] -= repeats
+        out.append((tuple(-b for b in pattern), repeats))
+    return out, cut
+
+
+def _greedy(left: np.ndarray, bins: int) -> tuple[tuple[int, ...], int, int]:
+    """The pattern that takes the largest bin that fits, again and again; how often it can be repeated; the bins it leaves."""
+    room, taken, pattern = bins, np.zeros_like(left), []
+    while len(fits := np.flatnonzero((left - taken)[: room + 1] > 0)):
+        b = int(fits[-1])
+        times = min(int(left[b] - taken[b]), room // b)
+        pattern += [b] * times
+        taken[b] += times
+        room -= b * times
+    used = np.flatnonzero(taken)
+    return tuple(pattern), int((left[used] // taken[used]).min()), room
 
 
 def _places(made: list[tuple[tuple[int, ...], int]], bins: int) -> tuple[dict, int]:
-    """Per bin the first rank of each of its runs, with the run's first sequence and pieces per sequence."""
-    runs: dict[int, list] = {b: [] for b in range(bins + 1)}
-    cursor, base = np.zeros(bins + 1, np.int64), 0
+    """Per bin (and per part, as a negative bin) the first rank of each of its runs, with the run's first sequence and its
+    pieces per sequence."""
+    runs: dict[int, list] = {b: [] for b in range(-bins, bins + 1)}
+    cursor, base = dict.fromkeys(runs, 0), 0
     for pattern, repeats in made:
-        for b, times in zip(*np.unique(pattern, return_counts=True)):
-            runs[int(b)].append((cursor[b], base, times))
+        for b, times in zip(*(x.tolist() for x in np.unique(pattern, return_counts=True))):
+            runs[b].append((cursor[b], base, times))
             cursor[b] += times * repeats
         base += repeats
     return {b: np.array(r, np.int64).reshape(-1, 3) for b, r in runs.items()}, base
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame:
-    """pieces with sequence_id and offset added; needs columns doc_id, start, length (1 to window); others pass through.
+    """pieces with sequence_id, offset and part added; needs columns doc_id, start, length (1 to window); others pass through.
 
-    Sequences hold at most window tokens; offsets are gapless from 0. Pieces that repeat in all columns are each placed.
-    An empty table gives no rows.
+    A piece that is cut gives one row for each of its parts, with start and length of the part and part = 0, 1, ... as in
+    parts_of; otherwise part is -1. Sequences hold at most window tokens; offsets are gapless from 0. Pieces that repeat in
+    all columns are each placed. An empty table gives no rows.
     """
     spark = pieces.sparkSession
     step = -(-window // bins)
     blocks = shuffle_partitions(spark)
-    taken = {"_bin", "_block", "_rank", "_before", "sequence_id", "offset"} & set(pieces.columns)
+    taken = {"_bin", "_block", "_rank", "_before", "sequence_id", "offset", "part"} & set(pieces.columns)
     if taken:
         raise ValueError(f"columns {sorted(taken)} are in the way")
     pieces = settle(pieces)
+    names = pieces.columns
     binned = pieces.withColumn("_bin", F.when(F.col("length") == window, 0).otherwise(F.ceil(F.col("length") / step).cast("int")))
     binned = binned.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(blocks)).cast("int"))
     sizes = settle(binned.groupBy("_bin", "_block").count())
     histogram = np.zeros(bins + 1, np.int64)
     for b, n in sizes.groupBy("_bin").agg(F.sum("count")).collect():  # a row per bin
         histogram[b] = n
-    runs, rests = _places(plan(histogram, bins), bins)
+    made, cut = plan(histogram, bins)
+    runs, rests = _places(made, bins)
     runs[0] = np.array([[0, rests, 1]], np.int64)
+    whole = histogram - cut
+    whole[0] = histogram[0]
+    # among the parts of 2^k bins, those that come from bin b begin here
+    begin = {1 << k: np.cumsum(cut * (np.arange(bins + 1) >> k & 1)) - cut * (np.arange(bins + 1) >> k & 1) for k in range(bins.bit_length())}
 
     earlier = F.coalesce(F.sum("count").over(Window.partitionBy("_bin").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = sizes.select(F.col("_bin").alias("_b"), F.col("_block").alias("_k"), earlier.alias("_before"))
     local = F.row_number().over(Window.partitionBy("_block", "_bin").orderBy("doc_id", "start", "length")) - 1
     ranked = binned.withColumn("_rank", local).join(bases, (F.col("_bin") == F.col("_b")) & (F.col("_block") == F.col("_k")))
-    ranked = ranked.select(*pieces.columns, "_bin", (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
+    ranked = ranked.select(*names, "_bin", (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, rank = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-            sequence = np.zeros(len(rank), np.int64)
-            for b in np.unique(owner):
-                own = owner == b
-                at = runs[int(b)][np.searchsorted(runs[int(b)][:, 0], rank[own], side="right") - 1]
-                sequence[own] = at[:, 1] + (rank[own] - at[:, 0]) // at[:, 2]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence)], [*batch.schema.names, "sequence_id"])
-
-    schema = ranked.withColumn("sequence_id", F.lit(0).cast("long")).schema
+            owner, rank = batch.column("_bin").to_numpy(), batch.column("_rank").to_numpy()
+            start, length = batch.column("start").to_numpy(), batch.column("length").to_numpy()
+            rows: list[list[np.ndarray]] = []  # row, part, start, length, bin or minus part, rank
+
+            def add(at, part, s, n, kind, r, rows=rows):
+                rows.append([at, np.full(len(at), part), s, n, np.full(len(at), kind), r])
+
+            for b in np.unique(owner).tolist():
+                at = np.flatnonzero(owner == b)
+                stays = rank[at] < whole[b]
+                kept, split = at[stays], at[~stays]
+                add(kept, -1, start[kept], length[kept], b, rank[kept])
+                for k, size in enumerate(part_sizes(b) if len(split) else []):
+                    done = sum(part_sizes(b)[:k]) * step
+                    n = np.minimum(size * step, length[split] - done)
+                    add(split, k, start[split] + done, n, -size, rank[split] - whole[b] + begin[size][b])
+            at, part, s, n, kind, r = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 6
+            sequence = np.zeros(len(at), np.int64)
+            for b in np.unique(kind).tolist():
+                own = kind == b
+                run = runs[b][np.searchsorted(runs[b][:, 0], r[own], side="right") - 1]
+                sequence[own] = run[:, 1] + (r[own] - run[:, 0]) // run[:, 2]
+            new = {"start": pa.array(s), "length": pa.array(n)}
+            columns = [new.get(c, None) if c in new else batch.column(c).take(pa.array(at)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(part.astype(np.int32))], [*names, "sequence_id", "part"])
+
+    schema = ranked.select(*names).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("part", F.lit(0)).schema
     placed = ranked.mapInArrow(look_up, schema)
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(*pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    return placed.select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"), "part")
+
+
+def piece_digests(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame:
+    """pieces with the CRC-32 of their ids (ids_crc32) and of each of their parts (part_crc32) in place of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, parts = [], []
+            for n, ids in zip(batch.column("length").to_pylist(), batch.column("ids").to_pylist()):
+                whole.append(zlib.crc32(ids))
+                parts.append([zlib.crc32(ids[4 * s : 4 * (s + k)]) for s, k in parts_of(n, window, bins)] if n < window else [])
+            kept = [n for n in batch.schema.names if n != "ids"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], [*kept, "ids_crc32", "part_crc32"])
+
+    schema = pieces.drop("ids").withColumn("ids_crc32", F.lit(0).cast("long")).withColumn("part_crc32", F.array(F.lit(0).cast("long"))).schema
+    return pieces.mapInArrow(run, schema)
+
+
+def packed_digests(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each placed piece or part."""
+    packed = pack(piece_digests(tokenise_pieces(docs, tokenizer_path, **how)))
+    crc = F.when(F.col("part") < 0, F.col("ids_crc32")).otherwise(F.get("part_crc32", F.col("part")))
+    return packed.select("doc_id", "start", "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:
-    """Tokenise, cut and pack: a row per piece with its ids, sequence_id and offset. See tokenise_pieces and pack."""
-    return pack(tokenise_pieces(docs, tokenizer_path, **how))
+    """Tokenise, cut and pack: a row per piece or part with its ids, sequence_id and offset. See tokenise_pieces and pack."""
+    packed = pack(tokenise_pieces(docs, tokenizer_path, **how).withColumn("first", F.col("start")))
+    ids = F.expr("substring(ids, cast(4 * (start - first) + 1 as int), cast(4 * length as int))")
+    return packed.withColumn("ids", ids).drop("first", "part")

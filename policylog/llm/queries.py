@@ -50,10 +50,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from policylog.llm.packing import pack, tokenise_pieces
+    from policylog.llm.packing import packed_digests
 
-    pieces = tokenise_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cut="dropped", end_id=2)
-    return pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return packed_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cut="dropped", end_id=2)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

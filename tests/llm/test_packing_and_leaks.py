@@ -51,7 +51,11 @@ def test_little_padding_and_even_shares(spark):
 
     got = op5_packing(spark, SF).collect()
     by = check_sequences(got)
-    assert sum(r.length for r in got) / (4096 * len(by)) > 0.97
+    assert sum(r.length for r in got) / (4096 * len(by)) > 0.985
+    for length in (2500, 4000, 1, 700):
+        same = spark.range(3000).selectExpr("id as doc_id", "0L as start", f"{length}L as length")
+        rows = pack(same).collect()
+        assert sum(r.length for r in rows) == 3000 * length and len(check_sequences(rows)) <= 1.01 * 3000 * (-(-length // 16) * 16) / 4096 + 2
     same = spark.range(30_000).selectExpr("id as doc_id", "0L as start", "100L as length")
     assert len(check_sequences(pack(same).collect())) <= 30_000 // 36 + 1
 
@@ -61,14 +65,21 @@ def test_plan_uses_up_the_histogram():
     for h in (np.zeros(257, int), rng.integers(0, 2000, 257), np.eye(257, dtype=int)[100] * 999, rng.integers(0, 2, 257)):
         h[0] = 0
         used = np.zeros(257, int)
-        made = plan(h)
+        made, cut = plan(h)
+        parts = np.zeros(257, int)
         for pattern, repeats in made:
-            assert sum(pattern) <= 256 and repeats > 0
+            assert sum(map(abs, pattern)) <= 256 and repeats > 0
             for b in pattern:
-                used[b] += repeats
-        assert (used == h).all()
-        if h.sum() > 10_000:
-            assert sum(n for _, n in made) < 1.01 * (np.arange(257) * h).sum() / 256 + 257
+                used[b] += repeats * (b > 0)
+                parts[max(0, -b)] += repeats * (b < 0)
+        assert (used + cut == h).all()
+        want = np.zeros(257, int)
+        for b in np.flatnonzero(cut):
+            for k in range(9):
+                want[1 << k] += cut[b] * (b >> k & 1)
+        assert (parts[1:] == want[1:]).all()
+        if h.sum():
+            assert sum(n for _, n in made) <= 1.01 * (np.arange(257) * h).sum() / 256 + 2
 
 
 def test_nnls_finds_an_exact_solution():
