@@ -43,10 +43,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of 4096 tokens; a row per piece, as op5_packing returns."""
     import public_tokenizers
 
-    from policylog.llm.packing import pack, tokenise_pieces
+    from policylog.llm.packing import packed_digests
 
-    pieces = tokenise_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), cut="dropped", end_id=2)
-    return pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"), cut="dropped", end_id=2)
 
 
 STAGES = [
