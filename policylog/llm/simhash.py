@@ -241,14 +241,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 #: Words of a signature, the least agreement of fingerprints, and sampled keys in near_duplicates.
-WORDS, AGREE, KEYS = 5, 0.8, 64
+WORDS, AGREE, KEYS = 12, 0.75, 64
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS) -> DataFrame:
     """One row per input row: doc_id, fp, component_id, where rows link whose shingle sets have an estimated Jaccard
     similarity of at least similarity. Edge cases as in cluster.
 
-    At that similarity fingerprints may differ in many bits. Candidates agree on 80 % of the bits and meet under a block
+    At that similarity fingerprints may differ in many bits. Candidates agree on 75 % of the bits and meet under a block
     mask of budget 4 (so that none with up to 4 differing bits is lost) or one of so many random masks of log2(n) bits (a
     pair at the threshold meets in about 95 of 100 cases, a closer one almost surely; the number of chance meetings per
     fingerprint doesn't grow with n). They are settled on the whole signature: the bits that differ estimate the angle
