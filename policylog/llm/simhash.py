@@ -241,7 +241,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 #: Words of a signature, the least agreement of fingerprints, and sampled keys in near_duplicates.
-WORDS, AGREE, KEYS = 12, 0.75, 64
+WORDS, AGREE, KEYS = 16, 0.75, 64
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS) -> DataFrame:
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mask of budget 4 (so that none with up to 4 differing bits is lost) or one of so many random masks of log2(n) bits (a
     pair at the threshold meets in about 95 of 100 cases, a closer one almost surely; the number of chance meetings per
     fingerprint doesn't grow with n). They are settled on the whole signature: the bits that differ estimate the angle
-    between two shingle sets and so their Jaccard similarity, with one standard error of leniency.
+    between two shingle sets and so their Jaccard similarity, with one and a half standard errors of leniency.
     """
     marked = settle(fingerprints(docs, id_col, text_col, shingle, WORDS))
     owns = marked.groupBy("fp").agg(F.min("more").alias("more"))
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) + F.aggregate(F.zip_with("u_more", "v_more", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
-    most = 64 * WORDS * share + (64 * WORDS * share * (1 - share)) ** 0.5
+    most = 64 * WORDS * share + 1.5 * (64 * WORDS * share * (1 - share)) ** 0.5
     return _components(marked.select("doc_id", "fp"), settle(pairs.where(apart <= most).select("u", "v")))
 
 
