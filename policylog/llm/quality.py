@@ -129,20 +129,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK), r.label) for r in got])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, score (0 to 1, higher is better), and the columns named in keep.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id and score (0 to 1, higher is better).
 
     A null text counts as empty; empty texts are scored like any other. Null ids and repeated rows are kept; an empty
-    table gives no rows.
+    table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = pa.array([shared.value.score_text(x.as_py()) for x in b.column("_text")], pa.float64())
-            kept = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, scores], [*(n for n in b.schema.names if n != "_text"), "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score_text(x.as_py()) for x in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
-    schema = rows.drop("_text").withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, rows.select("doc_id").withColumn("score", F.lit(0.0)).schema)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([shared.value.score_text(x.as_py()) >= threshold for x in b.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
