@@ -10,11 +10,10 @@ from policylog.llm.common import crc_mod, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the byte-level convolutional classifier scores at 0.3 or more."""
-    from policylog.llm.quality import score, train
+    from policylog.llm.quality import keep_good, train
 
     model = train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    kept = score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).where("score >= 0.3")
-    return kept.select(docs.columns)
+    return keep_good(docs, model, 0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
