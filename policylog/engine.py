@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import operator
 import re
 from collections.abc import Callable, Iterable
 
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from policylog.errors import Code, DatalogError
 from policylog.explain import Explanation, Fact, ProofNode, Trace, document, to_fact, trace_limit
 from policylog.functions.decision import Decision, decide
-from policylog.functions.terms import Kinds, const, equals, kind_of
+from policylog.functions.terms import Kinds, const, encode, equals, kind_of
 from policylog.limits import SMALL, UNBOUNDED, Limits
 from policylog.operators.fixpoint import Model, solve
-from policylog.operators.rules import Relation, columns, empty
+from policylog.operators.rules import Relation, columns, empty, relation_of
 from policylog.plans.canonical import canonical_sha256
 from policylog.plans.ir import SYMBOL, Program
 from policylog.plans.parser import parse
@@ -168,19 +169,18 @@ class SolveResult:
         return not df.isEmpty()
 
     def contains_batch(self, name: str, queries: DataFrame) -> DataFrame:
-        """queries (columns by position) with a boolean column contained; one semi join instead of a job per fact."""
-        from policylog.operators.rules import relation_of
-
+        """queries (columns by position) with a boolean column contained: one join instead of a job per fact. Rows with a
+        null are not contained."""
         predicate = self._queryable(name, len(queries.columns))
         relation = self.base[name] if name in self.base else self._derived(predicate)
         asked = relation_of(queries)
-        known = relation.df.distinct().select(*[F.col(c).alias(f"k_{c}") for c in columns(predicate.arity)], F.lit(True).alias("_found"))
-        if any(a != b for a, b in zip(asked.kinds, relation.kinds)):
-            return queries.withColumn("contained", F.lit(False))
-        left = queries.toDF(*columns(predicate.arity))
-        on = functools.reduce(lambda a, b: a & b, [left[c] == known[f"k_{c}"] for c in columns(predicate.arity)])
-        joined = left.join(known, on, "left").select(*columns(predicate.arity), F.coalesce("_found", F.lit(False)).alias("contained"))
-        return joined.toDF(*queries.columns, "contained")
+        names = columns(predicate.arity)
+        both = [a | b for a, b in zip(asked.kinds, relation.kinds)]
+        keys = [encode(F.col(c), k, w).alias(f"k_{c}") for c, k, w in zip(names, relation.kinds, both)]
+        known = relation.df.select(*keys).distinct().withColumn("_found", F.lit(True))
+        left = asked.df.select(*names, *[encode(F.col(c), k, w).alias(f"q_{c}") for c, k, w in zip(names, asked.kinds, both)])
+        on = functools.reduce(operator.and_, [left[f"q_{c}"] == known[f"k_{c}"] for c in names])
+        return left.join(known, on, "left").select(*names, F.coalesce("_found", F.lit(False)).alias("contained")).toDF(*queries.columns, "contained")
 
     def decision(self, subject: tuple[Value, ...] = (), allow: str = "allow", deny: str = "deny", reduce: str = "reduce") -> Decision:
         return decide(*(self.contains_fact(n, *subject) for n in (deny, reduce, allow)))

@@ -24,7 +24,6 @@ from policylog.operators.rules import Derivation, KindTable, Relation, columns,
 from policylog.operators.storage import settle
 from policylog.plans.analyze import components
 from policylog.plans.ir import Atom, Program, Rule
-from policylog.registry import Kind
 
 #: Rounds after which the pieces of a growing relation are merged into one checkpoint.
 MERGE_EVERY = 8
@@ -196,7 +195,3 @@ class Solver:
 
 def solve(spark: SparkSession, program: Program, base: dict[str, Relation], limits: Limits) -> Model:
     return Solver(spark, program, base, limits).run()
-
-
-def is_base(kind: Kind) -> bool:
-    return bool(kind & (Kind.EDB | Kind.POLICY_FACT))

@@ -132,6 +132,9 @@ def test_dataframes_zero_arity_and_rules_without_atoms(spark):
     r = solved(spark, 'flag() :- edge(_, _). left(X) :- edge(X, _), flag(). right(1) :- 1 < 2, not(safe("a")). both("a") :- not(flag()).', [], frames=[("edge", df)])
     assert rows(r.relation("left")) == [(1,), (2,)] and rows(r.relation("right")) == [(1,)] and r.count("both") == 0
     assert r.contains_fact("flag")
+    asked = r.contains_batch("left", spark.createDataFrame([(1,), (9,), (None,)], "n int"))
+    assert asked.columns == ["n", "contained"] and {tuple(x) for x in asked.collect()} == {(1, True), (9, False), (None, False)}
+    assert not any(x.contained for x in r.contains_batch("left", spark.createDataFrame([("1",)], "n string")).collect())
     assert solved(spark, TC, []).derived_fact_count == 0
     with pytest.raises(DatalogError):
         solved(spark, "", [], frames=[("edge", spark.createDataFrame([(1.5, 2)], "a double, b int"))])
