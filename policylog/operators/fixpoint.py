@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from policylog.operators.storage import settle
 from policylog.plans.analyze import components
 from policylog.plans.ir import Atom, Program, Rule
 
+#: Known facts from which a round first settles its candidates, so that the known ones need only be scanned for them.
+SCAN_KNOWN = 1_000_000
 #: Rounds after which the pieces of a growing relation are merged into one checkpoint.
 MERGE_EVERY = 8
 
@@ -42,10 +45,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _minus(new: DataFrame, known: DataFrame, arity: int) -> DataFrame:
+def _match(left: DataFrame, right: DataFrame, arity: int, how: str) -> DataFrame:
     names = columns(arity)
-    right = known.select(*[F.col(n).alias(f"k_{n}") for n in names])
-    return new.join(right, functools.reduce(lambda x, y: x & y, [new[n] == right[f"k_{n}"] for n in names]), "left_anti")
+    right = right.select(*[F.col(n).alias(f"k_{n}") for n in names])
+    return left.join(right, functools.reduce(operator.and_, [left[n] == right[f"k_{n}"] for n in names]), how)
+
+
+def _minus(new: DataFrame, known: DataFrame, arity: int, known_rows: int = 0) -> DataFrame:
+    """new without known. Where much is known, the few candidates are settled and looked up in it first: they are small
+    enough to be broadcast in most rounds, so the known facts are scanned but not shuffled."""
+    if known_rows < SCAN_KNOWN:
+        return _match(new, known, arity, "left_anti")
+    new = settle(new)
+    return _match(new, _match(known, new, arity, "left_semi"), arity, "left_anti")
 
 
 class Solver:
@@ -105,6 +117,7 @@ class Solver:
         parts: dict[str, list[DataFrame]] = {n: [] for n in names}
         old: dict[str, list[DataFrame]] = {n: [] for n in names}
         delta: dict[str, DataFrame] = {}
+        rows = dict.fromkeys(names, 0)
         for number in itertools.count():
             if number > self.limits.safety_rounds:
                 raise DatalogError(Code.PAYLOAD_TOO_LARGE, "too many rounds", category="max_depth", deny_reason="DENY_MAX_DEPTH")
@@ -131,11 +144,13 @@ class Solver:
             for name, derivations in found.items():
                 if any(d.facts is not None for d in derivations):
                     df = self.made(name, derivations)
-                    df = _minus(df, _union(parts[name]), len(self.kinds[name])) if parts[name] else df
+                    df = _minus(df, _union(parts[name]), len(self.kinds[name]), rows[name]) if parts[name] else df
                     new[name] = settle(df)
             self.probe()
             old = {n: list(p) for n, p in parts.items()}
-            delta = {n: df for n, df in new.items() if not df.isEmpty()}
+            found_rows = {n: df.count() for n, df in new.items()}
+            rows = {n: r + found_rows.get(n, 0) for n, r in rows.items()}
+            delta = {n: df for n, df in new.items() if found_rows[n]}
             self.model.rounds = max(self.model.rounds, number)
             if not delta:
                 break
