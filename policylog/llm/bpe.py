@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from policylog.llm.common import CACHES
+
 #: NUL, and white space other than space and line feed, as Python sees it (more than the library does, which is safe).
 _OTHER_SPACE = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 _CUT = re.compile(r"(?<=\S)[ \n]")
@@ -50,6 +52,17 @@ def pieces_dropped(text: str) -> list[str]:
 
 CUTS = {"leading": (pieces_leading, text_of_leading), "dropped": (pieces_dropped, str)}
 _MADE: dict[tuple, PieceEncoder] = {}
+
+
+def _forget() -> bool:
+    held = bool(_MADE)
+    for encoder in _MADE.values():
+        encoder.cache.clear()
+    _MADE.clear()
+    return held
+
+
+CACHES.append(_forget)
 #: A word of common letters with punctuation behind it: two pre-tokens in either way of cutting.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 

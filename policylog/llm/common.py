@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +47,18 @@ def text_or_empty(name: str) -> Column:
 def crc_mod(name: str, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor: the deterministic held-out split."""
     return F.pmod(F.crc32(F.col(name).cast("string")), F.lit(divisor))
+
+
+#: What empties a Python worker's caches. Workers are reused from stage to stage, and what one operator has cached would
+#: stand in the way of the next one's memory.
+CACHES: list[Callable[[], bool]] = []
+
+
+def release_caches() -> None:
+    """Called on a worker by operators that need no cache of another's."""
+    if any([empty() for empty in CACHES]):
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: freed memory stays with the process

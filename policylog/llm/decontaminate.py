@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylog.llm.common import settle
+from policylog.llm.common import release_caches, settle
 
 #: Words of a passage and of a document window, and the steps between windows.
 PASSAGE, WINDOW, STEP = 48, 64, 16
@@ -73,6 +73,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.nda
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})  # one block's words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         at, found, n = shared.value, np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -163,6 +164,7 @@ def _search(docs: DataFrame, passages: list[Passage], rank: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(({w: i for w, i in at.items() if idf[i] > 0}, table, queries, mass, passages, content, plain))  # one block's words and passages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         names = FOUND.replace(",", "").split()[::2]
         for batch in batches:
             out = []

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from policylog.llm.common import release_caches
+
 #: The training sample's bounds: labelled rows, and chunks of each (spread evenly over its text).
 TRAINING_ROWS, TRAINING_CHUNKS = 3_000, 12
 CHUNK, OVERLAP, STRIDE, WIDTH, EMBED, FILTERS = 256, 32, 2, 8, 6, 24
@@ -54,7 +56,7 @@ class Model:
         z = np.concatenate((pooled.mean(axis=0), pooled.max(axis=0))) @ self.out + self.base[0]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def score_text(self, text: str | None, block: int = 2048) -> float:
+    def score_text(self, text: str | None, block: int = 512) -> float:
         chunks = chunks_of((text or "").encode("utf-8", "surrogatepass"))
         total, most = np.zeros(FILTERS), np.zeros(FILTERS)
         for at in range(0, len(chunks), block):
@@ -117,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.join(known, docs[id_col] == known["_id"]).where(F.col(text_col).isNotNull()).select("_id", "_label", F.col(text_col).cast("string").alias("_text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             made = []
             for text in b.column(2):
@@ -138,6 +141,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.score_text(x.as_py()) for x in b.column(1)], pa.float64())], ["doc_id", "score"])
 
@@ -150,6 +154,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for b in batches:
             yield b.filter(pa.array([shared.value.score_text(x.as_py()) >= threshold for x in b.column(text_col)], pa.bool_()))
 

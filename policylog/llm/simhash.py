@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylog.llm.common import settle, shuffle_partitions
+from policylog.llm.common import release_caches, settle, shuffle_partitions
 from policylog.llm.components import connected_components
 
 SEED = 42
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             made = np.array([signature(x.as_py(), shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * (words - 1), pa.int32()), pa.array(made[:, 1:].ravel()))
@@ -149,7 +150,7 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarr
         if not len(a):
             continue
         if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((bits >> np.uint64(bit)) & np.uint64(1)))).astype(np.int64)
+            ones[bit] = np.concatenate(([0], np.cumsum((bits >> np.uint64(bit)) & np.uint64(1)))).astype(np.int32)
         up = ones[bit]
         m, k, own = b - (up[b] - up[a]), d - (up[d] - up[c]), a == c
         kids = [(a, m, c, k, err), (m, b, k, d, err), (a, m, k, d, err + 1)]
@@ -183,6 +184,7 @@ def _compare(bits, labels, a, b, c, d, budget, merge) -> None:
 
 def _joined(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         keys, fps = np.array([], np.int64), np.array([], np.int64)
 
         def links(stop: int) -> pa.RecordBatch:
