@@ -26,11 +26,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def words_of(text: str | None) -> Counter:
     """Lower-cased runs of letters with their counts."""
     found = Counter(_LETTERS.findall((text or "").lower()))
-    odd = [w for w in found if not w.isalpha()]  # digits like fractions also count as word characters
-    for w in odd:
-        n = found.pop(w)
-        for c in filter(str.isalpha, w):
-            found[c] += n
+    if not "".join(found).isalpha():  # digits like fractions also count as word characters
+        for w in [w for w in found if not w.isalpha()]:
+            n = found.pop(w)
+            for c in filter(str.isalpha, w):
+                found[c] += n
     return found
 
 
@@ -40,22 +40,23 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """tables[n]: (rows by n-gram, log frequencies by row and language); n = 0 holds whole words."""
+    """tables[n]: log frequencies by language for each n-gram; n = 0 holds whole words."""
 
     def __init__(self, languages: list[str], counts: dict[int, dict[str, np.ndarray]], smoothing: float = 0.5):
         self.languages = languages
-        self.tables = {}
+        self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
         for n, grams in counts.items():
             table = np.array(list(grams.values()), float).reshape(len(grams), len(languages)) + smoothing
-            self.tables[n] = ({g: i for i, g in enumerate(grams)}, np.log(table / table.sum(axis=0)))
+            self.tables[n] = dict(zip(grams, map(tuple, np.log(table / table.sum(axis=0)).tolist())))
 
-    def vector(self, word: str) -> np.ndarray:
-        for n in (0, *range(LONGEST, 0, -1)):
-            rows, logs = self.tables.get(n, ({}, None))
-            hits = [rows[g] for g in ([word] if n == 0 else grams_of(word, n)) if g in rows]
+    def vector(self, word: str) -> tuple[float, ...]:
+        if (known := self.tables.get(0, {}).get(word)) is not None:
+            return known
+        for n in range(LONGEST, 0, -1):
+            hits = [x for x in map(self.tables.get(n, {}).get, grams_of(word, n)) if x is not None]
             if hits:
-                return logs[hits].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return tuple([sum(column) / len(hits) for column in zip(*hits)])
+        return (0.0,) * len(self.languages)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_rows: int = TRAINING_ROWS) -> Model:
@@ -97,7 +98,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     return Model(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 200_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 600_000) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (the winner's posterior under equal priors).
 
     A null text, one without a letter, or a model without languages gives ``und`` and 0. Ties go to the language that
