@@ -136,9 +136,9 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarr
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, a, b, c, d, err = stack.pop()
-        if len(a) > 4 * _CHUNK:
-            for at in range(0, len(a), 4 * _CHUNK):
-                stack.append((bit, *(x[at : at + 4 * _CHUNK] for x in (a, b, c, d, err))))
+        if len(a) > _CHUNK // 4:  # so that the stack stays small at any depth
+            for at in range(0, len(a), _CHUNK // 4):
+                stack.append((bit, *(x[at : at + _CHUNK // 4].copy() for x in (a, b, c, d, err))))
             continue
         same = (run[b - 1] == run[a]) & (run[d - 1] == run[c]) & (labels[a] == labels[c])
         a, b, c, d, err = (x[~same] for x in (a, b, c, d, err))
@@ -168,7 +168,7 @@ def _compare(bits, labels, a, b, c, d, budget, merge) -> None:
     """Tests the fingerprints below leaf pairs one by one, a bounded number at a time, nearest first."""
     width = d - c
     sizes = (b - a) * width
-    edges = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 16 * _CHUNK), side="left")
+    edges = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 2 * _CHUNK), side="left")
     for lo, hi in zip(edges, np.append(edges[1:], len(sizes)), strict=True):
         if hi == lo:
             continue
