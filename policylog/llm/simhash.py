@@ -220,15 +220,15 @@ def fingerprint_links(fps: DataFrame, budget: int, masks: list[int] | None = Non
     return dealt.mapInArrow(_joined(budget), "u long, v long")
 
 
-def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
-    """marked (doc_id, fp) with component_id: the smallest id among the fingerprints that the links (u, v) connect."""
-    reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+def _components(marked: DataFrame, links: DataFrame, by: str = "fp") -> DataFrame:
+    """marked (doc_id, fp) with component_id: the smallest id among the values of column by that the links (u, v) connect."""
+    reps = marked.groupBy(by).agg(F.min("doc_id").alias("rep"))
     roots = connected_components(links)
-    linked = roots.join(reps, F.col("node") == F.col("fp")).select("node", "root", "rep")
+    linked = roots.join(reps, F.col("node") == F.col(by)).select("node", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "at")
     linked = linked.join(least, F.col("root") == F.col("at")).select("node", "component")
-    owners = reps.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(owners, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
+    owners = reps.join(linked, F.col(by) == F.col("node"), "left").select(F.col(by).alias("own"), F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(owners, F.col(by) == F.col("own")).select("doc_id", "fp", "component_id")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -242,32 +242,215 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return _components(marked, fingerprint_links(marked, budget))
 
 
-#: Words of a signature, the least agreement of fingerprints, and sampled keys in near_duplicates.
-WORDS, AGREE, KEYS = 16, 0.75, 64
+#: Bits in which the fingerprints of first candidates may differ; documents whose shingles tell which are common.
+NEAR_BITS, SAMPLE = 4, 4_000
+_PAIRS = 1 << 20
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, keys: int = KEYS) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id, where rows link whose shingle sets have an estimated Jaccard
-    similarity of at least similarity. Edge cases as in cluster.
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The XXH64 values of the distinct shingles, ascending."""
+    from xxhash import xxh64_intdigest as digest
+
+    return np.unique(np.array([digest(x, SEED) for x in set(shingles_of(words_of(text), size))], np.uint64)).view(np.int64)
+
+
+def _share(similarity: float, n: int) -> int:
+    """The least whole number that is at least similarity * n."""
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def _described(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
+        release_caches()
+        for batch in batches:
+            fps, sids = [], []
+            for text in batch.column(2):
+                own = shingle_set(text.as_py(), shingle)
+                ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                fps.append(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
+                sids.append(digest(np.sort(own).tobytes(), SEED))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.int64)), pa.array(np.array(sids, np.uint64).view(np.int64))], ["doc_id", "t", "fp", "sid"])
+
+    return run
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least three of about SAMPLE texts hold, ascending, and how many hold them. They only set the order
+    in which shingles are taken, so any sample gives the same result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle))], ["x"])
+
+    n = max(1, texts.count() // SAMPLE)
+    rows = texts.where(F.pmod("t", F.lit(n)) == 0).mapInArrow(run, "x long").groupBy("x").count().where("count > 2").toArrow()
+    found, held = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(found)
+    return found[order], held[order]
+
+
+def _prefixes(shingle: int, similarity: float, common):
+    """key, sid, n, pos: the rarest shingles of each set, so many that two sets of the similarity share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
+        release_caches()
+        known, held = common.value
+        for batch in batches:
+            keys, sids, sizes = [], [], []
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), shingle)
+                if not len(own):
+                    continue
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, held[at], 0)
+                keys.append(own[np.lexsort((own, rank))][: len(own) - _share(similarity, len(own)) + 1])
+                sids.append(np.uint64(digest(np.sort(own).tobytes(), SEED)).view(np.int64))
+                sizes.append(len(own))
+            width = [len(k) for k in keys]
+            if width:
+                pos = np.concatenate([np.arange(w, dtype=np.int32) for w in width])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), width)), pa.array(np.repeat(np.array(sizes, np.int32), width)), pa.array(pos)], ["key", "sid", "n", "pos"])
+
+    return run
 
-    At that similarity fingerprints may differ in many bits. Candidates agree on 75 % of the bits and meet under a block
-    mask of budget 4 (so that none with up to 4 differing bits is lost) or one of so many random masks of log2(n) bits (a
-    pair at the threshold meets in about 95 of 100 cases, a closer one almost surely; the number of chance meetings per
-    fingerprint doesn't grow with n). They are settled on the whole signature: the bits that differ estimate the angle
-    between two shingle sets and so their Jaccard similarity, with one and a half standard errors of leniency.
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first column, cut only where its value changes."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows > 4 * _CHUNK and held[0][0][0] != held[-1][0][-1]:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            stop = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1
+            yield [c[:stop] for c in columns]
+            held, rows = [[c[stop:].copy() for c in columns]], rows - stop
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _edges(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of sorted values the first row of its run and the first row after it."""
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    width = np.diff(np.append(starts, len(values)))
+    return np.repeat(starts, width), np.repeat(starts + width, width)
+
+
+def _can_be(similarity: float, n: np.ndarray, pos: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether rows u and v of a key leave room for the similarity if the key is the first shingle that their sets share."""
+    return np.minimum(n[u] - pos[u], n[v] - pos[v]) >= np.ceil(similarity / (1 + similarity) * (n[u].astype(np.int64) + n[v]) - 1e-9)
+
+
+def _met(similarity: float):
+    """The rows of keys that two sets hold, with the key's first set where it can be similar and else the row's own. Rows
+    are sorted by key and sid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        for key, sid, n, pos in _whole_groups(batches):
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
+            key, sid, n, pos = key[new], sid[new], n[new], pos[new]
+            first, end = _edges(key)
+            good = end - first > 1
+            star = np.where(_can_be(similarity, n, pos, first, np.arange(len(key))), sid[first], sid)
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (key, sid, n, pos, star)], ["key", "sid", "n", "pos", "first"])
+
+    return run
+
+
+def _cross_pairs(similarity: float):
+    """All pairs of a key's sets that are not linked yet and that can be similar; rows are sorted by key and label. A pair's
+    first common shingle bounds what they share by what is left of both, so no pair of the similarity is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        for key, label, sid, n, pos in _whole_groups(batches):
+            _, end = _edges(key)
+            own = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
+            own = np.repeat(np.append(own[1:], len(key)), np.diff(np.append(own, len(key))))  # where the row's label ends
+            left = end - own
+            at = 0
+            total = np.concatenate(([0], np.cumsum(left)))
+            while at < len(key):
+                stop = max(at + 1, int(np.searchsorted(total, total[at] + _PAIRS, side="right")) - 1)
+                size = left[at:stop]
+                for skip in range(0, max(int(size.max()), 1), _PAIRS):  # more than one step only for a single row
+                    take = np.clip(size - skip, 0, _PAIRS)
+                    u = np.repeat(np.arange(at, stop), take)
+                    v = own[u] + skip + np.arange(len(u)) - np.repeat(np.cumsum(take) - take, take)
+                    good = _can_be(similarity, n, pos, u, v)
+                    a, b = sid[u[good]], sid[v[good]]
+                    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+                at = stop
+
+    return run
+
+
+def _similar(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs u, v of set ids whose shingle sets have a Jaccard similarity of at least similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        last, mine = None, set()
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
+                if u[i] != last:
+                    last, mine = u[i], set(shingles_of(words_of(left.as_py()), shingle))
+                other = set(shingles_of(words_of(right.as_py()), shingle))
+                shared = len(mine & other)
+                good[i] = shared >= similarity * (len(mine) + len(other) - shared) - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
+
+    pairs = settle(pairs)
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    chosen = marked.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("t").alias("t"))
+    read = texts.join(chosen.select("t"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    bodies = settle(chosen.join(read, "t").select("sid", "text"))
+    left, right = (bodies.select(F.col("sid").alias(f"{x}_sid"), F.col("text").alias(f"{x}_text")) for x in "uv")
+    full = pairs.join(right, F.col("v") == F.col("v_sid")).select("u", "v", "v_text").join(left, F.col("u") == F.col("u_sid"))
+    return settle(full.select("u", "v", "u_text", "v_text").sortWithinPartitions("u").mapInArrow(run, "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: doc_id, fp (of the distinct shingles), component_id, where rows link whose sets of distinct
+    shingles have a Jaccard similarity of at least similarity. Edge cases as in cluster; sets are told apart by XXH64.
+
+    Every link is settled on the shingles themselves. First candidates are fingerprints that differ in few bits, and the
+    first set of each key, where a set's keys are its rarest shingles: two sets of the similarity share one of them at
+    least, at any number of documents. What these link is merged. Then all pairs under one key that are in different
+    components are settled as well, so no pair at the threshold is missed, and large groups of copies stay cheap.
     """
-    marked = settle(fingerprints(docs, id_col, text_col, shingle, WORDS))
-    owns = marked.groupBy("fp").agg(F.min("more").alias("more"))
-    bits = max(8, int(np.ceil(np.log2(max(owns.count(), 2)))))
-    masks = block_masks(4) + sampled_masks(keys, min(bits, 32))
-    pairs = fingerprint_links(marked, int((1 - AGREE) * 64), masks).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    left, right = (owns.select(F.col("fp").alias(f"{x}_fp"), F.col("more").alias(f"{x}_more")) for x in "uv")
-    pairs = pairs.join(left, F.col("u") == F.col("u_fp")).join(right, F.col("v") == F.col("v_fp"))
-    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) + F.aggregate(F.zip_with("u_more", "v_more", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
-    most = 64 * WORDS * share + 1.5 * (64 * WORDS * share * (1 - share)) ** 0.5
-    return _components(marked.select("doc_id", "fp"), settle(pairs.where(apart <= most).select("u", "v")))
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    marked = settle(texts.select("doc_id", "t", "text").mapInArrow(_described(shingle), "doc_id long, t long, fp long, sid long"))
+    texts = texts.select("t", "text")
+    common = spark.sparkContext.broadcast(_common_shingles(texts, shingle))
+    parts = shuffle_partitions(spark)
+    keyed = texts.mapInArrow(_prefixes(shingle, similarity, common), "key long, sid long, n int, pos int").repartition(parts, "key").sortWithinPartitions("key", "sid")
+    met = settle(keyed.mapInArrow(_met(similarity), "key long, sid long, n int, pos int, first long"))
+
+    reps = marked.groupBy("fp").agg(F.min("sid").alias("sid"))
+    ends = [reps.select(F.col("fp").alias(f"{x}_fp"), F.col("sid").alias(f"{x}_sid")) for x in "uv"]
+    near = fingerprint_links(marked, NEAR_BITS).join(ends[0], F.col("u") == F.col("u_fp")).join(ends[1], F.col("v") == F.col("v_fp")).select(F.col("u_sid").alias("u"), F.col("v_sid").alias("v"))
+    same = marked.join(reps.select(F.col("fp").alias("u_fp"), F.col("sid").alias("u")), F.col("fp") == F.col("u_fp")).select("u", F.col("sid").alias("v"))
+    pairs = near.unionByName(same).unionByName(met.select(F.col("first").alias("u"), F.col("sid").alias("v"))).where("u <> v")
+    links = _similar(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), marked, texts, shingle, similarity)
+
+    roots = connected_components(links)
+    labelled = met.join(roots, F.col("sid") == F.col("node"), "left").select("key", F.coalesce("root", "sid").alias("label"), "sid", "n", "pos")
+    rest = labelled.repartition(parts, "key").sortWithinPartitions("key", "label").mapInArrow(_cross_pairs(similarity), "u long, v long").distinct()
+    return _components(marked, settle(links.unionByName(_similar(rest, marked, texts, shingle, similarity))), "sid")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
