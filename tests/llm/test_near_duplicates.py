@@ -44,3 +44,16 @@ def test_links_inside_families_of_looser_neighbours(spark):
     want = brute(texts)
     assert len(set(want)) == 60
     assert components(spark, texts) == want
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Many pairs just at 0.8 among other texts: none depends on which sampled bits two fingerprints share."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(300):
+        own = words(rng, 94)
+        texts += [" ".join(own), " ".join(own[:84] + words(rng, 10))]
+    texts += [" ".join(words(rng, 60)) for _ in range(500)]
+    want = brute(texts)
+    assert len(set(want)) == 800
+    assert components(spark, texts) == want
