@@ -1,6 +1,6 @@
 import random
 
-from policylog.llm.simhash import near_duplicates, shingles_of, words_of
+from policylog.llm.simhash import drop_near_duplicates, near_duplicates, shingles_of, words_of
 
 
 def brute(texts, n=5, similarity=0.8):
@@ -57,3 +57,20 @@ def test_no_pair_at_the_threshold_is_missed(spark):
     want = brute(texts)
     assert len(set(want)) == 800
     assert components(spark, texts) == want
+
+
+def test_the_threshold_is_that_of_distinct_shingles(spark):
+    rng = random.Random(6)
+    texts = []
+    for shared in [80, 79] * 40:  # of 90 shingles each: 0.8, and 79 of 101
+        own = words(rng, 94)
+        texts += [" ".join(own), " ".join(own[: shared + 4] + words(rng, 90 - shared))]
+    line = " ".join(words(rng, 10))
+    own = " ".join(words(rng, 300))
+    texts += [own, f"{own} {f'{line} ' * 100}"]  # a set similarity of 296 / 310
+    texts += [f"{' '.join(words(rng, 60))} {f'{line} ' * 100}" for _ in range(3)]
+    want = brute(texts)
+    assert len(set(want)) == 40 + 80 + 1 + 3
+    assert components(spark, texts) == want
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, " ")], "doc_id long, text string")
+    assert {r.doc_id for r in drop_near_duplicates(df).collect()} == {i for i, x in enumerate(want) if i == x} | {900}
