@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages and weighted by TF-IDF, with document frequencies counted over the whole corpus. A
-distributed randomised SVD of the passages gives a latent space; every overlapping window of every document is projected
-into it and searched against all passages by cosine. Candidates are settled word by word: the longest common subsequence
-(LCS) of passage and window must cover most of the passage, and where it leaves room for a paraphrase the answer must be
-there too.
+distributed randomised SVD of the passages gives a latent space, in which the cosine of window and passage ranks the finds.
+No passage is left out for what the space or a word's weight hides: the candidates are all passages and overlapping windows
+where enough of the passage's words occur for the longest common subsequence (LCS) to be long enough, one product of two
+small matrices per document. They are settled word by word: the LCS must cover most of the passage, and where it leaves
+room for a paraphrase the answer must be there too.
 
 The benchmark is the query set: it is taken in blocks of bounded size, and each block is searched in all documents.
 """
@@ -26,10 +27,9 @@ from policylog.llm.common import release_caches, settle
 PASSAGE, WINDOW, STEP = 48, 64, 16
 #: Passages searched at once, dimensions of the latent space, and further dimensions of the random sketch.
 BLOCK, RANK, EXTRA = 1_000, 192, 16
-#: Words in more than this share of the documents carry no weight.
+#: Words in more than this share of the documents and of the benchmark's items (two at least) can't stand for an answer. A
+#: word that is frequent in the documents only because they repeat one passage is not common in this sense.
 COMMON = 0.05
-#: A candidate's least cosine, and the least share of the passage's latent mass that its window must hold.
-COSINE, HELD = 0.15, 0.2
 #: LCS over passage length: from ALIKE on a passage counts as found, from PARAPHRASE on if its answer is there too.
 ALIKE, PARAPHRASE = 0.85, 0.6
 _WORD = re.compile(r"\w+")
@@ -141,27 +141,41 @@ def latent_space(rows: DataFrame, size: int, rank: int = RANK, extra: int = EXTR
     return q @ vectors[:, best]
 
 
-def _search(docs: DataFrame, passages: list[Passage], rank: int) -> DataFrame:
+def common_words(items: DataFrame) -> set[str]:
+    """Words in over COMMON of the items and in two at least; there are few, as each takes its share of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(set(words_of(text.as_py()))), pa.string())], ["word"])
+
+    least = max(COMMON * items.count(), 1)
+    held = items.select("text").mapInArrow(run, "word string").groupBy("word").count()
+    return {r.word for r in held.where(F.col("count") > least).collect()}
+
+
+def _need(n: int) -> float:
+    """The LCS that a passage of n words needs."""
+    return max(PARAPHRASE * n, min(n, 6))
+
+
+def _search(docs: DataFrame, passages: list[Passage], rank: int, frequent: set[str]) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = sorted({w for p in passages for w in p.words})
     at = {w: i for i, w in enumerate(vocabulary)}
     held, n = document_frequencies(docs.select("text"), vocabulary)
-    idf = np.where(held > COMMON * n, 0.0, np.log((1 + n) / (1 + held)))
-    if n < 20:
-        idf = np.log((2 + n) / (1 + held))  # too few documents to call a word common
+    idf = np.log((2 + n) / (1 + held))
+    counted = np.zeros((len(vocabulary), len(passages)), np.uint8)  # a passage has fewer than 256 words
     rows = []
-    for p in passages:
+    for j, p in enumerate(passages):
         terms, counts = np.unique([at[w] for w in p.words], return_counts=True)
+        counted[terms, j] = counts
         rows.append((terms.tolist(), (counts * idf[terms]).tolist()))
     space = latent_space(spark.createDataFrame(rows, "terms array<int>, weights array<double>"), len(vocabulary), rank)
     table = (idf[:, None] * space).astype(np.float32)
     queries = np.stack([np.array(w) @ space[t] for t, w in rows]).astype(np.float32)
-    mass = np.linalg.norm(queries, axis=1)
-    weightless = mass < 1e-6  # all its words are common: searched by words alone
-    mass[weightless] = 1
-    content = [{w for w in p.words if idf[at[w]] > 0} for p in passages]
-    plain = [(j, p) for j, p in enumerate(passages) if weightless[j]]
-    shared = spark.sparkContext.broadcast(({w: i for w, i in at.items() if idf[i] > 0}, table, queries, mass, passages, content, plain))  # one block's words and passages
+    content = [{w for w in p.words if held[at[w]] <= COMMON * n or w not in frequent} for p in passages]
+    shared = spark.sparkContext.broadcast((at, counted, table, queries, passages, content))  # one block's words and passages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -177,40 +191,42 @@ def _search(docs: DataFrame, passages: list[Passage], rank: int) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def find(words: list[str], at: dict, table: np.ndarray, queries: np.ndarray, mass: np.ndarray, passages: list[Passage], content: list[set], plain: list) -> list[tuple]:
+def find(words: list[str], at: dict, counted: np.ndarray, table: np.ndarray, queries: np.ndarray, passages: list[Passage], content: list[set]) -> list[tuple]:
     """(item, passage, start, passage words, LCS, cosine, answered) of the best window for each passage that is found."""
     best: dict[int, tuple] = {}
     codes = np.fromiter(map(at.get, words, [-1] * len(words)), np.int64, len(words))
     places = np.flatnonzero(codes >= 0)
-    if len(places):
-        starts = np.arange(0, max(len(words) - WINDOW, 0) + STEP, STEP)
-        lo, hi = np.searchsorted(places, starts), np.searchsorted(places, starts + WINDOW)
-        some = hi > lo
-        starts, lo, hi = starts[some], lo[some], hi[some]
-        for first in range(0, len(starts), 1024):
-            s, a, b = starts[first : first + 1024], lo[first : first + 1024], hi[first : first + 1024]
-            vectors = table[codes[places[a[0] : b[-1]]]]
-            sums = np.concatenate((np.zeros((1, vectors.shape[1]), np.float32), np.cumsum(vectors, axis=0, dtype=np.float64)))
-            latent = (sums[b - a[0]] - sums[a - a[0]]).astype(np.float32)
-            size = np.linalg.norm(latent, axis=1)
-            dots = latent @ queries.T
-            near = (dots >= HELD * mass * mass) & (dots >= COSINE * mass * size[:, None]) & (size[:, None] > 1e-6)
-            for w, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                _settle(best, words, int(s[w]), j, float(dots[w, j] / (mass[j] * size[w])), passages[j], content[j])
-    for j, p in plain:
-        for start in range(0, max(len(words) - WINDOW, 0) + STEP, STEP):
-            _settle(best, words, start, j, 0.0, p, content[j])
+    need = np.array([_need(len(p.words)) for p in passages], np.float32) - 1e-3
+    starts = np.arange(0, max(len(words) - WINDOW, 0) + STEP, STEP)
+    for first in range(0, len(starts), 256):
+        s = starts[first : first + 256]
+        lo, hi = np.searchsorted(places, s - STEP), np.searchsorted(places, s + WINDOW + STEP)  # the region that is settled
+        own, local = np.unique(codes[places[lo[0] : hi[-1]]], return_inverse=True)
+        if not len(own):
+            continue
+        holds = np.zeros((len(s), len(own)), np.float32)
+        width = hi - lo
+        holds[np.repeat(np.arange(len(s)), width), local[np.arange(width.sum()) - np.repeat(np.cumsum(width) - width - lo + lo[0], width)]] = 1
+        for w, j in zip(*(x.tolist() for x in np.nonzero(holds @ counted[own].astype(np.float32) >= need))):
+            start = int(s[w])
+            a, b = np.searchsorted(places, (start, start + WINDOW))
+            _settle(best, words, start, j, table[codes[places[a:b]]], queries[j], passages[j], content[j])
     return [(passages[j].item, passages[j].number, *hit) for j, hit in best.items()]
 
 
-def _settle(best: dict, words: list[str], start: int, j: int, cosine: float, passage: Passage, content: set) -> None:
+def _settle(best: dict, words: list[str], start: int, j: int, vectors: np.ndarray, query: np.ndarray, passage: Passage, content: set) -> None:
     region = words[max(0, start - STEP) : start + WINDOW + STEP]
     lcs, n = lcs_length(passage.words, region), len(passage.words)
-    if lcs < max(PARAPHRASE * n, min(n, 6)):
+    if lcs < _need(n):
         return
     present = set(region)
     answered = lcs_length(passage.answer, region) == len(passage.answer) if passage.answer else 2 * len(content & present) >= len(content)
-    if (answered or lcs >= ALIKE * n) and (j not in best or (lcs, cosine) > (best[j][2], best[j][3])):
+    if not answered and lcs < ALIKE * n:
+        return
+    latent = vectors.sum(axis=0, dtype=np.float64)
+    size = float(np.linalg.norm(latent) * np.linalg.norm(query))
+    cosine = float(latent @ query) / size if size > 1e-9 else 0.0
+    if j not in best or (lcs, cosine) > (best[j][2], best[j][3]):
         best[j] = (start, n, lcs, cosine, answered)
 
 
@@ -225,10 +241,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"), answer.alias("answer"))
-    out, pending = None, []
+    out, pending, frequent = None, [], common_words(items)
 
     def searched(block_passages: list[Passage]) -> DataFrame:
-        made = _search(docs, block_passages, rank)
+        made = _search(docs, block_passages, rank, frequent)
         return made if out is None else out.unionByName(made)
 
     for row in items.orderBy("id", "text").toLocalIterator():  # the query set, a block at a time
