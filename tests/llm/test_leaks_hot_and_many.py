@@ -25,3 +25,21 @@ def test_altered_copies_in_a_hot_group(spark):
         for d in docs[:40]:
             d[20:20] = copy
         assert found(spark, [" ".join(d) for d in docs], [" ".join(i) for i in items]) == {(d, 0) for d in range(40)}
+
+
+def test_verbatim_copies_of_over_a_thousand_items(spark):
+    """More passages in a block than the latent space has dimensions; items are cut from the documents themselves."""
+    rng = random.Random(9)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    items, docs, want = [], [], set()
+    for text in [r.text for r in rows if len(dc.words_of(r.text)) >= 60]:
+        own = dc.words_of(text)
+        for _ in range(2):
+            n = rng.randrange(10, 21)
+            at = rng.randrange(len(own) - n)
+            want.add((len(docs), len(items)))
+            items.append(own[at : at + n])
+        docs.append(own)
+    assert len(items) > 1_000
+    got = found(spark, [" ".join(d) for d in docs], [" ".join(i) for i in items])
+    assert want <= got
