@@ -43,3 +43,12 @@ def test_verbatim_copies_of_over_a_thousand_items(spark):
     assert len(items) > 1_000
     got = found(spark, [" ".join(d) for d in docs], [" ".join(i) for i in items])
     assert want <= got
+
+
+def test_few_documents_take_the_same_path(spark):
+    rng = random.Random(10)
+    item, line = words(rng, 30), words(rng, 30)
+    altered = [*item[:9], "other", *item[10:]]
+    for n in (3, 18, 19, 20, 40):
+        docs = [" ".join(words(rng, 50) + altered) for _ in range(n)] + [" ".join(line)]
+        assert found(spark, docs, [" ".join(item)]) == {(d, 0) for d in range(n)}
