@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylog.llm.common import crc_mod, table, text_or_empty
+from policylog.llm.common import crc_mod, table
 
 URL_RULES = [  # fixed values: host, path, verdict
     ("com", "/", "allow"),
@@ -74,10 +74,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from policylog.llm.exact_dedup import mark_duplicates
 
-    docs = table(spark, sf_dir, "documents")
-    marked = mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept")
-    digests = docs.select("doc_id", F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
-    return marked.join(digests, "doc_id")
+    return mark_duplicates(table(spark, sf_dir, "documents"), digests=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def _span_list(spans: Column) -> Column:

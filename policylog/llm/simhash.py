@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylog.llm.common import release_caches, settle, shuffle_partitions
+from policylog.llm.common import CACHES, attach_groups, fresh, hash_filter, may_be_in, one_row_each, release_caches, settle, shuffle_partitions, without_rows
 from policylog.llm.components import connected_components
 
 SEED = 42
@@ -185,19 +185,9 @@ def _compare(bits, labels, a, b, c, d, budget, merge) -> None:
 def _joined(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        keys, fps = np.array([], np.int64), np.array([], np.int64)
-
-        def links(stop: int) -> pa.RecordBatch:
-            u, v = trie_links(keys[:stop], fps[:stop], budget)
-            return pa.RecordBatch.from_arrays([pa.array(fps[u]), pa.array(fps[v])], ["u", "v"])
-
-        for batch in batches:
-            keys = np.concatenate((keys, batch.column(0).to_numpy()))
-            fps = np.concatenate((fps, batch.column(1).to_numpy()))
-            if len(keys) > 4 * _CHUNK and (stop := int(np.searchsorted(keys, keys[-1]))):
-                yield links(stop)
-                keys, fps = keys[stop:], fps[stop:]
-        yield links(len(keys))
+        for keys, fps in _whole_groups(batches):
+            u, v = trie_links(keys, fps, budget)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[u]), pa.array(fps[v])], ["u", "v"])
 
     return run
 
@@ -220,15 +210,14 @@ def fingerprint_links(fps: DataFrame, budget: int, masks: list[int] | None = Non
     return dealt.mapInArrow(_joined(budget), "u long, v long")
 
 
-def _components(marked: DataFrame, links: DataFrame, by: str = "fp") -> DataFrame:
-    """marked (doc_id, fp) with component_id: the smallest id among the values of column by that the links (u, v) connect."""
-    reps = marked.groupBy(by).agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(links)
-    linked = roots.join(reps, F.col("node") == F.col(by)).select("node", "root", "rep")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "at")
-    linked = linked.join(least, F.col("root") == F.col("at")).select("node", "component")
-    owners = reps.join(linked, F.col(by) == F.col("node"), "left").select(F.col(by).alias("own"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(owners, F.col(by) == F.col("own")).select("doc_id", "fp", "component_id")
+def _least(marked: DataFrame, links: DataFrame, by: str, rank: Column) -> DataFrame:
+    """by, least, size: for each value of column by its rows, and the least rank among the rows that links (u, v between such
+    values) reach."""
+    reps = settle(marked.groupBy(by).agg(F.min(rank).alias("rep"), F.count(F.lit(1)).alias("size")))
+    linked = connected_components(links).join(reps, F.col("node") == F.col(by)).select("node", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "at")
+    linked = linked.join(least, F.col("root") == F.col("at")).select("node", "least")
+    return reps.join(linked, F.col(by) == F.col("node"), "left").select(by, F.coalesce("least", "rep").alias("least"), "size")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -239,19 +228,65 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     occur; an empty table gives no rows; other columns are ignored.
     """
     marked = settle(fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp"))
-    return _components(marked, fingerprint_links(marked, budget))
+    groups = _least(marked, fingerprint_links(marked, budget), "fp", F.col("doc_id"))
+    return attach_groups(marked, groups, "fp", "size").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 #: Bits in which the fingerprints of first candidates may differ; documents whose shingles tell which are common.
 NEAR_BITS, SAMPLE = 4, 4_000
 _PAIRS = 1 << 20
+_SETS = 1_000_000
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The XXH64 values of the distinct shingles, ascending."""
-    from xxhash import xxh64_intdigest as digest
+class _WordHashes(dict):
+    """XXH64 of words, each made once per worker; bounded by :func:`_word_hashes`."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        value = self[word] = xxh64_intdigest(word, SEED)
+        return value
+
 
-    return np.unique(np.array([digest(x, SEED) for x in set(shingles_of(words_of(text), size))], np.uint64)).view(np.int64)
+_WORDS = _WordHashes()
+
+
+def _forget() -> bool:
+    held = bool(_WORDS)
+    _WORDS.clear()
+    return held
+
+
+CACHES.append(_forget)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    if len(_WORDS) > 400_000:
+        _WORDS.clear()
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending: a polynomial of the words' XXH64 values, mixed."""
+    words = _word_hashes(words_of(text))
+    if not len(words):
+        return np.array([], np.int64)
+    n = max(len(words) - size + 1, 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(size, len(words))):
+        h = h * _FACTOR + words[k : k + n]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
+
+
+def set_fingerprint(own: np.ndarray) -> int:
+    """As signature does, a bit is set if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), _CHUNK):
+        ones += np.unpackbits(own[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
 
 
 def _share(similarity: float, n: int) -> int:
@@ -259,19 +294,55 @@ def _share(similarity: float, n: int) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
-def _described(shingle: int):
+def sketch(own: np.ndarray) -> bytes:
+    """How many hashes fall into each of 2^k buckets by their low bits, as bytes; there are 4 to 8 hashes a bucket from 64 on."""
+    bits = max(4, (len(own) // 4).bit_length() - 1)
+    return np.minimum(np.bincount(own & ((1 << bits) - 1), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(left: bytes, right: bytes) -> int:
+    """No two sets with these sketches share more hashes."""
+    a, b = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (left, right))
+    a[a == 255] = b[b == 255] = 1 << 40  # may be more
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)).sum())
+
+
+_DESCRIBED = "doc_id long, t long, fp long, sid long, n int, keys array<long>, sketch binary"
+
+
+def _described(shingle: int, similarity: float, common):
+    """doc_id, t (of the text), fp, sid (of the set), and where a task meets a set first: its size, its rarest shingles, so
+    many that two sets of the similarity share one of them, and its sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
         release_caches()
+        known, held = common.value
+        seen: set[int] = set()
         for batch in batches:
-            fps, sids = [], []
+            fps, sids, sizes, keys, sketches = [], [], [], [], []
             for text in batch.column(2):
                 own = shingle_set(text.as_py(), shingle)
-                ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fps.append(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
-                sids.append(digest(np.sort(own).tobytes(), SEED))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.int64)), pa.array(np.array(sids, np.uint64).view(np.int64))], ["doc_id", "t", "fp", "sid"])
+                sid = int(np.uint64(digest(own.tobytes(), SEED)).view(np.int64))
+                fps.append(set_fingerprint(own))
+                sids.append(sid)
+                if sid in seen or not len(own):
+                    sizes.append(None), keys.append(None), sketches.append(None)
+                    continue
+                if len(seen) >= _SETS:
+                    seen.clear()
+                seen.add(sid)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, held[at], 0)
+                sizes.append(len(own))
+                keys.append(own[np.lexsort((own, rank))][: len(own) - _share(similarity, len(own)) + 1])
+                sketches.append(sketch(own))
+            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _DESCRIBED.replace(",", "").split()[::2])
 
     return run
 
@@ -292,35 +363,6 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     return found[order], held[order]
 
 
-def _prefixes(shingle: int, similarity: float, common):
-    """key, sid, n, pos: the rarest shingles of each set, so many that two sets of the similarity share one of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
-
-        release_caches()
-        known, held = common.value
-        for batch in batches:
-            keys, sids, sizes = [], [], []
-            for text in batch.column(1):
-                own = shingle_set(text.as_py(), shingle)
-                if not len(own):
-                    continue
-                rank = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, held[at], 0)
-                keys.append(own[np.lexsort((own, rank))][: len(own) - _share(similarity, len(own)) + 1])
-                sids.append(np.uint64(digest(np.sort(own).tobytes(), SEED)).view(np.int64))
-                sizes.append(len(own))
-            width = [len(k) for k in keys]
-            if width:
-                pos = np.concatenate([np.arange(w, dtype=np.int32) for w in width])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), width)), pa.array(np.repeat(np.array(sizes, np.int32), width)), pa.array(pos)], ["key", "sid", "n", "pos"])
-
-    return run
-
-
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of batches that are sorted by their first column, cut only where its value changes."""
     held: list[list[np.ndarray]] = []
@@ -395,67 +437,105 @@ def _cross_pairs(similarity: float):
     return run
 
 
-def _similar(pairs: DataFrame, marked: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs u, v of set ids whose shingle sets have a Jaccard similarity of at least similarity."""
+def _may_share(similarity: float):
+    """Pairs whose sketches leave room for the similarity; it loses none that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy()
+            most = np.array([most_shared(a.as_py(), b.as_py()) for a, b in zip(batch.column(3), batch.column(5))], np.int64)
+            good = pa.array(most >= np.ceil(similarity / (1 + similarity) * n - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, made: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs u, v of set ids whose shingle sets have a Jaccard similarity of at least similarity. Sketches settle most
+    pairs; the texts of the others are read again, and only theirs are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        last, mine = None, set()
+        last, mine = None, np.array([], np.int64)
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
                 if u[i] != last:
-                    last, mine = u[i], set(shingles_of(words_of(left.as_py()), shingle))
-                other = set(shingles_of(words_of(right.as_py()), shingle))
-                shared = len(mine & other)
+                    last, mine = u[i], shingle_set(left.as_py(), shingle)
+                other = shingle_set(right.as_py(), shingle)
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
                 good[i] = shared >= similarity * (len(mine) + len(other) - shared) - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], ["u", "v"])
 
     pairs = settle(pairs)
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    chosen = marked.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("t").alias("t"))
-    read = texts.join(chosen.select("t"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    sketches = made.where("sketch is not null").select("sid", "n", "sketch").join(asked, "sid", "left_semi").dropDuplicates(["sid"])
+    left, right = (sketches.select(F.col("sid").alias(f"{x}_sid"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "uv")
+    both = pairs.join(right, F.col("v") == F.col("v_sid")).join(left, F.col("u") == F.col("u_sid"))
+    pairs = settle(both.select("u", "v", "u_n", "u_sketch", "v_n", "v_sketch").mapInArrow(_may_share(similarity), "u long, v long"))
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    chosen = settle(made.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("t").alias("t")))
+    read = may_be_in(texts, F.col("t"), hash_filter(F.col("t"), chosen), "_asked").where("_asked").select("t", "text")
+    read = read.join(chosen.select("t"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
     bodies = settle(chosen.join(read, "t").select("sid", "text"))
     left, right = (bodies.select(F.col("sid").alias(f"{x}_sid"), F.col("text").alias(f"{x}_text")) for x in "uv")
     full = pairs.join(right, F.col("v") == F.col("v_sid")).select("u", "v", "v_text").join(left, F.col("u") == F.col("u_sid"))
     return settle(full.select("u", "v", "u_text", "v_text").sortWithinPartitions("u").mapInArrow(run, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per input row: doc_id, fp (of the distinct shingles), component_id, where rows link whose sets of distinct
-    shingles have a Jaccard similarity of at least similarity. Edge cases as in cluster; sets are told apart by XXH64.
-
-    Every link is settled on the shingles themselves. First candidates are fingerprints that differ in few bits, and the
-    first set of each key, where a set's keys are its rarest shingles: two sets of the similarity share one of them at
-    least, at any number of documents. What these link is merged. Then all pairs under one key that are in different
-    components are settled as well, so no pair at the threshold is missed, and large groups of copies stay cheap.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and the links between the ids of similar sets."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    marked = settle(texts.select("doc_id", "t", "text").mapInArrow(_described(shingle), "doc_id long, t long, fp long, sid long"))
+    common = spark.sparkContext.broadcast(_common_shingles(texts.select("t", "text"), shingle))
+    made = settle(texts.select("doc_id", "t", "text").mapInArrow(_described(shingle, similarity, common), _DESCRIBED))
     texts = texts.select("t", "text")
-    common = spark.sparkContext.broadcast(_common_shingles(texts, shingle))
     parts = shuffle_partitions(spark)
-    keyed = texts.mapInArrow(_prefixes(shingle, similarity, common), "key long, sid long, n int, pos int").repartition(parts, "key").sortWithinPartitions("key", "sid")
-    met = settle(keyed.mapInArrow(_met(similarity), "key long, sid long, n int, pos int, first long"))
+    keyed = made.where("keys is not null").select("sid", "n", F.posexplode("keys").alias("pos", "key")).select("key", "sid", "n", "pos")
+    met = settle(keyed.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(_met(similarity), "key long, sid long, n int, pos int, first long"))
 
-    reps = marked.groupBy("fp").agg(F.min("sid").alias("sid"))
+    reps = made.groupBy("fp").agg(F.min("sid").alias("sid"))
     ends = [reps.select(F.col("fp").alias(f"{x}_fp"), F.col("sid").alias(f"{x}_sid")) for x in "uv"]
-    near = fingerprint_links(marked, NEAR_BITS).join(ends[0], F.col("u") == F.col("u_fp")).join(ends[1], F.col("v") == F.col("v_fp")).select(F.col("u_sid").alias("u"), F.col("v_sid").alias("v"))
-    same = marked.join(reps.select(F.col("fp").alias("u_fp"), F.col("sid").alias("u")), F.col("fp") == F.col("u_fp")).select("u", F.col("sid").alias("v"))
+    near = fingerprint_links(made, NEAR_BITS).join(ends[0], F.col("u") == F.col("u_fp")).join(ends[1], F.col("v") == F.col("v_fp")).select(F.col("u_sid").alias("u"), F.col("v_sid").alias("v"))
+    sets = made.select("fp", "sid").distinct()
+    same = sets.join(reps.select(F.col("fp").alias("u_fp"), F.col("sid").alias("u")), F.col("fp") == F.col("u_fp")).select("u", F.col("sid").alias("v"))
     pairs = near.unionByName(same).unionByName(met.select(F.col("first").alias("u"), F.col("sid").alias("v"))).where("u <> v")
-    links = _similar(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), marked, texts, shingle, similarity)
+    links = _similar(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), made, texts, shingle, similarity)
 
     roots = connected_components(links)
     labelled = met.join(roots, F.col("sid") == F.col("node"), "left").select("key", F.coalesce("root", "sid").alias("label"), "sid", "n", "pos")
     rest = labelled.repartition(parts, "key").sortWithinPartitions("key", "label").mapInArrow(_cross_pairs(similarity), "u long, v long").distinct()
-    return _components(marked, settle(links.unionByName(_similar(rest, marked, texts, shingle, similarity))), "sid")
+    return made, settle(links.unionByName(_similar(rest, made, texts, shingle, similarity)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: doc_id, fp (of the distinct shingles), component_id, where rows link whose sets of distinct
+    shingles have a Jaccard similarity of at least similarity. Edge cases as in cluster; sets are told apart by 64-bit hashes.
+
+    Every link is settled on the shingles themselves. First candidates are fingerprints that differ in few bits, found by the
+    trie join, and the first set of each key, where a set's keys are its rarest shingles: two sets of the similarity share
+    one of them at least, at any number of documents. What these link is merged. Then all pairs under one key that are in
+    different components are settled as well, so no pair at the threshold is missed, and large groups of copies stay cheap.
+    """
+    made, links = _linked(docs, id_col, text_col, shingle, similarity)
+    marked = made.select("doc_id", "fp", "sid")
+    groups = _least(marked, links, "sid", F.col("doc_id"))
+    return attach_groups(marked, groups, "sid", "size").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest id; all columns stay. Rows with a
-    null id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, similarity)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    """docs with exactly one row of each group of near duplicates, the one with the smallest id; all columns stay. A null id
+    comes after all others, and of rows that share the smallest id the one whose text has the smaller hash stays; of rows
+    that repeat both, one stays, whichever the cluster meets first."""
+    made, links = _linked(docs, id_col, text_col, shingle, similarity)
+    marked = made.select("doc_id", "t", "sid")
+    groups = _least(marked, links, "sid", F.struct(F.col("doc_id").isNull(), "doc_id", "t"))
+    best = attach_groups(marked, groups, "sid", "size")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("t") == F.col("least.t"))
+    dropped = settle(best.where(~stays).select("doc_id", F.col("t").alias("digest")).distinct())
+    repeated = settle(marked.groupBy("doc_id", F.col("t").alias("digest")).count().where("count > 1").select("doc_id", "digest"))
+    ident, digest = fresh("_long_id", docs), F.xxhash64(F.col(text_col).cast("string"))
+    found = without_rows(docs.withColumn(ident, F.col(id_col).cast("long")), ident, digest, dropped)
+    return one_row_each(found, ident, digest, repeated).select(*docs.columns)

@@ -1,20 +1,20 @@
 import hashlib
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
+from policylog.llm import common
 from policylog.llm.exact_dedup import drop_duplicates, mark_duplicates
 from policylog.llm.queries import URL_RULES, oracle_sql
 from policylog.llm.url_filter import match_rules
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_exact_groups(spark, broadcast_rows):
+def test_exact_groups(spark):
     rng = random.Random(1)
     texts = [None, "", "a", "b", "x" * 100_000, "x" * 99_999 + "y", "é", "e", "A", "same " * 30 + "1", "same " * 30 + "2"]
     rows = [(i, rng.choice(texts), "k") for i in range(200)] + [(500, "alone", "k"), (None, "nobody", "k"), (None, "a", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, full_hash string")
-    got = sorted(mark_duplicates(df, broadcast_rows=broadcast_rows).select("doc_id", "keep_id", "group_size", "kept").collect(), key=str)
+    got = sorted(mark_duplicates(df).select("doc_id", "keep_id", "group_size", "kept").collect(), key=str)
     want = []
     for i, t, _ in rows:
         same = [j for j, u, _ in rows if (u or "") == (t or "")]
@@ -22,8 +22,38 @@ def test_exact_groups(spark, broadcast_rows):
         want.append((i, keep, len(same), i == keep))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     kept = drop_duplicates(df)
-    assert kept.columns == df.columns and kept.where("doc_id is not null").count() == sum(w[3] for w in want if w[0] is not None)
-    assert mark_duplicates(df.limit(0)).count() == 0
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[3])
+    assert mark_duplicates(df.limit(0)).count() == 0 and drop_duplicates(df.limit(0)).count() == 0
+
+
+ODD = [(5, "A"), (5, "B"), (9, "B"), (None, "C"), (None, "B"), (9, "B"), (7, None), (8, ""), (None, "D"), (None, "D")]
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """One row out per row in, each with its own digest; the filter leaves exactly one row of each text."""
+    from policylog.llm.queries import op8_exact_dedup
+
+    spark.createDataFrame([(*r, "x") for r in ODD], "doc_id long, text string, keep_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_exact_dedup(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in ODD:
+        same = [j for j, u in ODD if (u or "") == (t or "")]
+        keep = max((j for j in same if j is not None), default=None)
+        want.append((i, keep, len(same), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got)
+    kept = drop_duplicates(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "A"), ("8", ""), ("9", "B"), ("None", "C"), ("None", "D")]
+
+
+def test_filters_and_hot_groups(spark):
+    """The hash filter passes every key, and rows meet their group whether it is hot or not."""
+    df = spark.range(-3000, 3000).selectExpr("id", "xxhash64(id) as h", "if(id < 0, null, if(id < 2000, 7, id)) as g")
+    kept = common.may_be_in(df, F.col("h"), common.hash_filter(F.col("h"), df.where("id % 7 = 0")), "hit")
+    assert kept.where("hit").count() < 900 and kept.where("id % 7 = 0 and not hit").count() == 0 and kept.count() == 6000
+    groups = df.where("g is not null").groupBy("g").agg(F.count("id").alias("size"), F.min("id").alias("least")).where("g % 3 > 0")
+    got = common.attach_groups(df, groups, "g", "size")
+    assert got.columns == ["id", "h", "g", "size", "least"] and got.count() == 6000
+    assert all((r["size"], r.least) == ((None, None) if r.g is None or r.g % 3 == 0 else (2000, 0) if r.g == 7 else (1, r.id)) for r in got.collect())
 
 
 def brute(url, rules, default="allow"):

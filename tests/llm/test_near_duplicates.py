@@ -1,6 +1,6 @@
 import random
 
-from policylog.llm.simhash import drop_near_duplicates, near_duplicates, shingles_of, words_of
+from policylog.llm.simhash import drop_near_duplicates, most_shared, near_duplicates, shingle_set, shingles_of, sketch, words_of
 
 
 def brute(texts, n=5, similarity=0.8):
@@ -74,3 +74,29 @@ def test_the_threshold_is_that_of_distinct_shingles(spark):
     assert components(spark, texts) == want
     df = spark.createDataFrame([*enumerate(texts), (900, None), (901, " ")], "doc_id long, text string")
     assert {r.doc_id for r in drop_near_duplicates(df).collect()} == {i for i, x in enumerate(want) if i == x} | {900}
+
+
+def test_sketches_bound_what_sets_share():
+    rng = random.Random(5)
+    for n in (1, 3, 40, 700, 6000):
+        for part in (0.0, 0.5, 0.95):
+            own = words(rng, n)
+            other = own[: int(n * part)] + words(rng, rng.randrange(1, n + 2))
+            a, b = (shingle_set(" ".join(x), 5) for x in (own, other))
+            shared = len(set(a.tolist()) & set(b.tolist()))
+            assert shared <= most_shared(sketch(a), sketch(b)) <= min(len(a), len(b))
+    assert most_shared(bytes([255] * 16), bytes([9] * 16)) == 9 * 16
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated and null ids: rows go by themselves, not by their id."""
+    rng = random.Random(7)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    near = " ".join([*a[:199], "other"])
+    a, b, c = (" ".join(x) for x in (a, b, c))
+    rows = [(3, a), (3, b), (4, near), (None, b), (None, c), (None, c), (6, a), (6, a), (2, "short"), (2, "short")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id int, text string, t int")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (3, b), (None, c), (2, "short")], key=str)
+    assert drop_near_duplicates(df.limit(0)).count() == 0
