@@ -1,32 +1,43 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages and weighted by TF-IDF, with document frequencies counted over the whole corpus. A
-distributed randomised SVD of the passages gives a latent space, in which the cosine of window and passage ranks the finds.
-No passage is left out for what the space or a word's weight hides: the candidates are all passages and overlapping windows
-where enough of the passage's words occur for the longest common subsequence (LCS) to be long enough, one product of two
-small matrices per document. They are settled word by word: the LCS must cover most of the passage, and where it leaves
-room for a paraphrase the answer must be there too.
-
-The benchmark is the query set: it is taken in blocks of bounded size, and each block is searched in all documents.
+Benchmark items are cut into passages and weighted by TF-IDF (a word counts by the square root of its idf, so that a shared
+word adds its idf to the product of two texts), with document frequencies counted over the whole corpus in one scan. Passages
+are taken in blocks; a distributed randomised SVD of a block gives its latent space, with as many dimensions as every passage
+needs to keep KEPT of its squared length. Overlapping windows of all documents are projected into it, and those whose cosine
+with a passage reaches a bound are its candidates. Candidates are settled word by word: the longest common subsequence (LCS)
+must cover most of the passage, and where it leaves room for a paraphrase the answer must be there too.
+
+The exact way for the rest: a passage whose words are in so many documents that they weigh next to nothing, or that the space
+does not hold, is compared with every window by the words that both hold instead.
+
+The benchmark is the query set: PASS passages at a time are searched in all documents in one scan.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylog.llm.common import release_caches, settle
 
 #: Words of a passage and of a document window, and the steps between windows.
 PASSAGE, WINDOW, STEP = 48, 64, 16
-#: Passages searched at once, dimensions of the latent space, and further dimensions of the random sketch.
-BLOCK, RANK, EXTRA = 1_000, 192, 16
+#: Passages of one latent space, passages searched in one scan, and further dimensions of the random sketch.
+BLOCK, PASS, EXTRA = 256, 4_096, 16
+#: The share of its squared length that each passage keeps in the latent space.
+KEPT = 0.95
+#: Cosine from which a window is a candidate for a passage of PASSAGE words; less, by the root of its length, for shorter ones.
+COSINE = 0.3
+#: Mean idf of its words below which a passage is compared by words.
+FAINT = 0.5
 #: Words in more than this share of the documents and of the benchmark's items (two at least) can't stand for an answer. A
 #: word that is frequent in the documents only because they repeat one passage is not common in this sense.
 COMMON = 0.05
@@ -56,6 +67,25 @@ class Passage:
     answer: list[str]
 
 
+@dataclass
+class Block:
+    """What a block of passages is searched with. Rows are words of the block."""
+
+    passages: list[Passage]
+    #: The row of each word of the index; -1 for others, and at the end.
+    rows: np.ndarray
+    #: Each row's coordinates, and those of the passages at length 1.
+    table: np.ndarray
+    queries: np.ndarray
+    #: The least cosine of each passage; above 1 for those that are compared by words.
+    least: np.ndarray
+    #: The passages that are compared by words, and how often each holds a row.
+    plain: np.ndarray
+    counted: np.ndarray
+    #: Each passage's words that can stand for its answer.
+    content: list[set]
+
+
 def lcs_length(passage: list[str], region: list[str]) -> int:
     """Longest common subsequence of two word lists, with the passage's positions as bits."""
     masks: dict[str, int] = {}
@@ -70,7 +100,7 @@ def lcs_length(passage: list[str], region: list[str]) -> int:
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """How many of all documents hold each word, and how many documents there are. docs: one text column."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})  # one block's words
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})  # the benchmark's words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -92,7 +122,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.nda
     return out, n
 
 
-def latent_space(rows: DataFrame, size: int, rank: int = RANK, extra: int = EXTRA, seed: int = 11, parts: int = 8) -> np.ndarray:
+def latent_space(rows: DataFrame, size: int, rank: int = BLOCK, extra: int = EXTRA, seed: int = 11, parts: int = 8) -> np.ndarray:
     """The first right singular vectors (size x at most rank) of the sparse matrix whose rows are in columns terms
     (array<int>) and weights (array<double>): a randomised range finder with one power step, A'(A omega), whose partial
     products are summed by term, and then the small problem (A q)'(A q). Only size x (rank + extra) numbers and parts
@@ -159,62 +189,88 @@ def _need(n: int) -> float:
     return max(PARAPHRASE * n, min(n, 6))
 
 
-def _search(docs: DataFrame, passages: list[Passage], rank: int, frequent: set[str]) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary = sorted({w for p in passages for w in p.words})
-    at = {w: i for i, w in enumerate(vocabulary)}
-    held, n = document_frequencies(docs.select("text"), vocabulary)
-    idf = np.log((2 + n) / (1 + held))
-    counted = np.zeros((len(vocabulary), len(passages)), np.uint8)  # a passage has fewer than 256 words
-    rows = []
-    for j, p in enumerate(passages):
-        terms, counts = np.unique([at[w] for w in p.words], return_counts=True)
-        counted[terms, j] = counts
-        rows.append((terms.tolist(), (counts * idf[terms]).tolist()))
-    space = latent_space(spark.createDataFrame(rows, "terms array<int>, weights array<double>"), len(vocabulary), rank)
-    table = (idf[:, None] * space).astype(np.float32)
-    queries = np.stack([np.array(w) @ space[t] for t, w in rows]).astype(np.float32)
-    content = [{w for w in p.words if held[at[w]] <= COMMON * n or w not in frequent} for p in passages]
-    shared = spark.sparkContext.broadcast((at, counted, table, queries, passages, content))  # one block's words and passages
+def make_block(spark: SparkSession, passages: list[Passage], at: dict[str, int], idf: np.ndarray, common: np.ndarray) -> Block:
+    """at: the index of each word; idf, common (can't stand for an answer): by index."""
+    own = sorted({at[w] for p in passages for w in p.words})
+    rows = np.full(len(at) + 1, -1, np.int64)
+    rows[own] = np.arange(len(own))
+    weight = np.sqrt(idf[own])
+    sparse = [np.unique(rows[[at[w] for w in p.words]], return_counts=True) for p in passages]
+    matrix = [(terms.tolist(), (counts * weight[terms]).tolist()) for terms, counts in sparse]
+    space = latent_space(spark.createDataFrame(matrix, "terms array<int>, weights array<double>"), len(own), len(passages))
+    queries = np.stack([np.array(w) @ space[t] for t, w in matrix])
+    lengths = np.array([np.dot(w, w) for _, w in matrix])
+    held = np.cumsum(queries**2, axis=1) / lengths[:, None]
+    enough = np.flatnonzero((held >= np.minimum(KEPT, held[:, -1:] - 1e-9)).all(axis=0))
+    rank = int(enough[0]) + 1
+    queries, space = queries[:, :rank], space[:, :rank]
+    n = np.array([len(p.words) for p in passages])
+    faint = (held[:, -1] < KEPT) | (np.array([idf[[at[w] for w in p.words]].mean() for p in passages]) < FAINT)
+    least = np.where(faint, 2, COSINE * np.sqrt(n / PASSAGE)).astype(np.float32)
+    plain = np.flatnonzero(faint)
+    counted = np.zeros((len(own), len(plain)), np.float32)
+    for j, p in enumerate(plain):
+        counted[sparse[p][0], j] = sparse[p][1]
+    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+    content = [{w for w in p.words if not common[at[w]]} for p in passages]
+    return Block(passages, rows, (weight[:, None] * space).astype(np.float32), queries.astype(np.float32), least, plain, counted, content)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
-        names = FOUND.replace(",", "").split()[::2]
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out += [(key, *hit) for hit in find(words_of(text.as_py()), *shared.value)]
-            columns = zip(*out) if out else [()] * len(names)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return docs.mapInArrow(run, FOUND)
+def _need(n: int) -> float:
+    """The LCS that a passage of n words needs."""
+    return max(PARAPHRASE * n, min(n, 6))
 
 
-def find(words: list[str], at: dict, counted: np.ndarray, table: np.ndarray, queries: np.ndarray, passages: list[Passage], content: list[set]) -> list[tuple]:
+def find(words: list[str], at: dict[str, int], blocks: list[Block], any_will_do: bool = False) -> list[tuple]:
     """(item, passage, start, passage words, LCS, cosine, answered) of the best window for each passage that is found."""
-    best: dict[int, tuple] = {}
-    codes = np.fromiter(map(at.get, words, [-1] * len(words)), np.int64, len(words))
-    places = np.flatnonzero(codes >= 0)
-    need = np.array([_need(len(p.words)) for p in passages], np.float32) - 1e-3
+    codes = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
     starts = np.arange(0, max(len(words) - WINDOW, 0) + STEP, STEP)
-    for first in range(0, len(starts), 256):
-        s = starts[first : first + 256]
-        lo, hi = np.searchsorted(places, s - STEP), np.searchsorted(places, s + WINDOW + STEP)  # the region that is settled
-        own, local = np.unique(codes[places[lo[0] : hi[-1]]], return_inverse=True)
-        if not len(own):
-            continue
-        holds = np.zeros((len(s), len(own)), np.float32)
-        width = hi - lo
-        holds[np.repeat(np.arange(len(s)), width), local[np.arange(width.sum()) - np.repeat(np.cumsum(width) - width - lo + lo[0], width)]] = 1
-        for w, j in zip(*(x.tolist() for x in np.nonzero(holds @ counted[own].astype(np.float32) >= need))):
-            start = int(s[w])
-            a, b = np.searchsorted(places, (start, start + WINDOW))
-            _settle(best, words, start, j, table[codes[places[a:b]]], queries[j], passages[j], content[j])
-    return [(passages[j].item, passages[j].number, *hit) for j, hit in best.items()]
-
-
-def _settle(best: dict, words: list[str], start: int, j: int, vectors: np.ndarray, query: np.ndarray, passage: Passage, content: set) -> None:
+    out = []
+    for block in blocks:
+        rows = block.rows[codes]
+        places = np.flatnonzero(rows >= 0)
+        rows = rows[places]
+        best: dict[int, tuple] = {}
+        for first in range(0, len(starts), 256):
+            s = starts[first : first + 256]
+            lo, hi = np.searchsorted(places, s), np.searchsorted(places, s + WINDOW)
+            begin, end = int(lo[0]), int(hi[-1])
+            if begin == end:
+                continue
+            sums = np.zeros((end - begin + 1, block.table.shape[1]), np.float32)
+            np.cumsum(block.table[rows[begin:end]], axis=0, out=sums[1:])
+            latent = sums[hi - begin] - sums[lo - begin]
+            cosine = (latent @ block.queries.T) / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+            asked = cosine >= block.least
+            if len(block.plain):
+                asked[:, block.plain] = _hold_enough(block, s, places, rows)
+            region, last = set(), -1
+            for w, j in zip(*(x.tolist() for x in np.nonzero(asked))):
+                start, passage = int(s[w]), block.passages[j]
+                if start != last:
+                    last, region = start, set(words[max(0, start - STEP) : start + WINDOW + STEP])
+                if sum([x in region for x in passage.words]) >= _need(len(passage.words)) - 1e-9:
+                    _settle(best, words, start, j, float(cosine[w, j]), passage, block.content[j])
+            if best and any_will_do:
+                break
+        out += [(block.passages[j].item, block.passages[j].number, *hit) for j, hit in best.items()]
+        if out and any_will_do:
+            break
+    return out
+
+
+def _hold_enough(block: Block, s: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether the region around each window holds enough of the words of each plain passage."""
+    lo, hi = np.searchsorted(places, s - STEP), np.searchsorted(places, s + WINDOW + STEP)
+    own, local = np.unique(rows[lo[0] : hi[-1]], return_inverse=True)
+    holds = np.zeros((len(s), len(own)), np.float32)
+    for k, (a, b) in enumerate(zip(lo - lo[0], hi - lo[0])):
+        holds[k, local[a:b]] = 1
+    need = np.array([_need(len(block.passages[j].words)) for j in block.plain], np.float32) - 1e-3
+    return holds @ block.counted[own] >= need
+
+
+def _settle(best: dict, words: list[str], start: int, j: int, cosine: float, passage: Passage, content: set) -> None:
     region = words[max(0, start - STEP) : start + WINDOW + STEP]
     lcs, n = lcs_length(passage.words, region), len(passage.words)
     if lcs < _need(n):
@@ -223,14 +279,48 @@ def _settle(best: dict, words: list[str], start: int, j: int, vectors: np.ndarra
     answered = lcs_length(passage.answer, region) == len(passage.answer) if passage.answer else 2 * len(content & present) >= len(content)
     if not answered and lcs < ALIKE * n:
         return
-    latent = vectors.sum(axis=0, dtype=np.float64)
-    size = float(np.linalg.norm(latent) * np.linalg.norm(query))
-    cosine = float(latent @ query) / size if size > 1e-9 else 0.0
     if j not in best or (lcs, cosine) > (best[j][2], best[j][3]):
         best[j] = (start, n, lcs, cosine, answered)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int = RANK, block: int = BLOCK) -> DataFrame:
+def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, answer_col: str | None, block: int, group: int) -> Iterator:
+    """Broadcasts of (word index, blocks) for group passages each; docs: the column text. Only the words of the benchmark and
+    one group's passages are on the driver at once."""
+    spark = docs.sparkSession
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"), answer.alias("answer"))
+    frequent = common_words(items)
+
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for text in batch.column(0) for w in words_of(text.as_py())}), pa.string())], ["word"])
+
+    vocabulary = [r.word for r in items.select("text").mapInArrow(distinct_words, "word string").distinct().orderBy("word").toLocalIterator()]
+    if not vocabulary:
+        return
+    held, n = document_frequencies(docs, vocabulary)
+    every_idf = np.log((2 + n) / (1 + held))
+    places = {w: i for i, w in enumerate(vocabulary)}
+
+    def index(passages: list[Passage]):
+        own = sorted({w for p in passages for w in p.words})
+        at = {w: i for i, w in enumerate(own)}
+        taken = [places[w] for w in own]
+        common = np.array([held[k] > COMMON * n and w in frequent for k, w in zip(taken, own)])
+        made = [make_block(spark, passages[i : i + block], at, every_idf[taken], common) for i in range(0, len(passages), block)]
+        return spark.sparkContext.broadcast((at, made))  # at most group passages: about 6 MB for each block of 256
+
+    pending: list[Passage] = []
+    for row in items.orderBy("id", "text").toLocalIterator():
+        pending += [Passage(row.id, k, words, words_of(row.answer)) for k, (_, words) in enumerate(passages_of(words_of(row.text)))]
+        while len(pending) >= group:
+            yield index(pending[:group])
+            pending = pending[group:]
+    if pending:
+        yield index(pending)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, block: int = BLOCK, group: int = PASS) -> DataFrame:
     """One row for each passage that a document holds: doc_id, item_id, passage, start (word of the document's window),
     n_words, lcs, similarity (cosine), answered. Documents without a find have no row.
 
@@ -238,19 +328,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     as its answer. Null texts and items count as empty and match nothing; an item with a null id is left out, a document
     with one is returned with it; repeated rows give repeated finds; empty tables give no rows; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"), answer.alias("answer"))
-    out, pending, frequent = None, [], common_words(items)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def searched(block_passages: list[Passage]) -> DataFrame:
-        made = _search(docs, block_passages, rank, frequent)
-        return made if out is None else out.unionByName(made)
+    def searched(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release_caches()
+            names = FOUND.replace(",", "").split()[::2]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
+            for batch in batches:
+                out = []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    out += [(key, *hit) for hit in find(words_of(text.as_py()), *shared.value)]
+                columns = zip(*out) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    for row in items.orderBy("id", "text").toLocalIterator():  # the query set, a block at a time
-        pending += [Passage(row.id, k, words, words_of(row.answer)) for k, (_, words) in enumerate(passages_of(words_of(row.text)))]
-        while len(pending) >= block:
-            out, pending = searched(pending[:block]), pending[block:]
-    if pending:
-        out = searched(pending)
-    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+        return rows.mapInArrow(run, FOUND)
+
+    found = [searched(x) for x in _indexes(rows.select("text"), benchmark, item_col, item_text_col, answer_col, block, group)]
+    return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, block: int = BLOCK, group: int = PASS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no passage of the benchmark. Each row is judged by its own text, so
+    null and repeated ids don't matter; nothing is moved between tasks."""
+
+    def kept(df: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release_caches()
+            for b in batches:
+                yield b.filter(pa.array([not find(words_of(x.as_py()), *shared.value, any_will_do=True) for x in b.column(text_col)], pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    for shared in _indexes(texts, benchmark, item_col, item_text_col, answer_col, block, group):
+        docs = kept(docs, shared)
+    return docs
