@@ -1,7 +1,8 @@
 """Packing documents into fixed windows by non-negative least squares over length patterns.
 
 A document's tokens are cut into full windows and a rest. Rests are binned by length; the histogram of bins has a fixed
-size whatever the corpus. Patterns are all combinations of up to three bins that fill a window exactly. Non-negative
+size whatever the corpus. Rests of at most BINS tokens have a bin for each length: they are first packed, in the same way,
+into bundles of BINS tokens, and a bundle is then packed like a rest. Patterns are all combinations of up to three bins that fill a window exactly. Non-negative
 least squares finds how often to repeat each pattern so that together they use up the histogram; the counts are rounded
 down and what remains is packed greedily, largest first, again on counts only. Where whole rests would leave a gap they are
 cut into parts of 2^k bins, which always fit together. The plan is then carried out in a distributed way: rests are numbered
@@ -10,6 +11,7 @@ within their bin and look up their sequence by that number.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from policylog.llm.bpe import PieceEncoder, batches_of
 from policylog.llm.common import settle, shuffle_partitions
 
 WINDOW = 4096
-BINS = 256
+BINS = 512
 #: Bins that a greedily packed sequence of whole rests may leave empty.
 GAP = 2
 
@@ -50,6 +52,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, cut: str = "dropped",
     return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
+@functools.cache
 def patterns(bins: int = BINS) -> np.ndarray:
     """All combinations of one to three bins (1 to bins) that fill a window exactly; padded with 0."""
     found = [(bins, 0, 0), *((bins - b, b, 0) for b in range(1, bins // 2 + 1))]
@@ -94,9 +97,16 @@ def part_sizes(b: int) -> list[int]:
     return [1 << k for k in range(b.bit_length() - 1, -1, -1) if b >> k & 1]
 
 
+def short_of(window: int = WINDOW, bins: int = BINS) -> int:
+    """Up to this length rests are packed into bundles, by their exact length; 0 where bins are exact anyway or a bundle
+    would not be 2^k bins."""
+    step = -(-window // bins)
+    return bins if step > 1 and bins % step == 0 and (bins // step).bit_count() == 1 else 0
+
+
 def parts_of(length: int, window: int = WINDOW, bins: int = BINS) -> list[tuple[int, int]]:
     """(start, length) of the parts that a piece would be cut into; only the last may fall short of its bins."""
-    step = -(-window // bins)
+    step = 1 if length <= short_of(window, bins) else -(-window // bins)
     out, at = [], 0
     for size in part_sizes(-(-length // step)):
         out.append((at, min(size * step, length - at)))
@@ -169,6 +179,37 @@ def _places(made: list[tuple[tuple[int, ...], int]], bins: int) -> tuple[dict, i
     return {b: np.array(r, np.int64).reshape(-1, 3) for b, r in runs.items()}, base
 
 
+class _Layout:
+    """Where the n-th rest of a bin, and the n-th part of a size (as a negative bin), has its sequence; full windows are bin 0
+    and come last."""
+
+    def __init__(self, histogram: np.ndarray, bins: int):
+        made, cut = plan(histogram, bins)
+        self.runs, packed = _places(made, bins)
+        self.runs[0] = np.array([[0, packed, 1]], np.int64)
+        self.sequences = packed + int(histogram[0])
+        self.whole = histogram - cut
+        self.whole[0] = histogram[0]
+        own = [cut * (np.arange(bins + 1) >> k & 1) for k in range(bins.bit_length())]
+        self.begin = {1 << k: np.cumsum(x) - x for k, x in enumerate(own)}  # among the parts of 2^k bins, those of bin b
+
+    def sequence(self, kind: int, rank: np.ndarray) -> np.ndarray:
+        if not len(rank):
+            return np.zeros(0, np.int64)
+        run = self.runs[kind][np.searchsorted(self.runs[kind][:, 0], rank, side="right") - 1]
+        return run[:, 1] + (rank - run[:, 0]) // run[:, 2]
+
+    def part_rank(self, b: int, size: int, rank: np.ndarray) -> np.ndarray:
+        return rank - self.whole[b] + self.begin[size][b]
+
+    def of_rest(self, b: int, rank: np.ndarray) -> np.ndarray:
+        """The sequence of rests of 2^k bins, which stay in one piece even where they count as cut."""
+        out, stays = np.zeros(len(rank), np.int64), rank < self.whole[b]
+        out[stays] = self.sequence(b, rank[stays])
+        out[~stays] = self.sequence(-b, self.part_rank(b, b, rank[~stays]))
+        return out
+
+
 def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame:
     """pieces with sequence_id, offset and part added; needs columns doc_id, start, length (1 to window); others pass through.
 
@@ -184,19 +225,17 @@ def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame
         raise ValueError(f"columns {sorted(taken)} are in the way")
     pieces = settle(pieces)
     names = pieces.columns
-    binned = pieces.withColumn("_bin", F.when(F.col("length") == window, 0).otherwise(F.ceil(F.col("length") / step).cast("int")))
+    short = short_of(window, bins)
+    bundle = short // step
+    binned = pieces.withColumn("_bin", F.when(F.col("length") == window, 0).when(F.col("length") <= short, -F.col("length").cast("int")).otherwise(F.ceil(F.col("length") / step).cast("int")))
     binned = binned.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(blocks)).cast("int"))
     sizes = settle(binned.groupBy("_bin", "_block").count())
-    histogram = np.zeros(bins + 1, np.int64)
+    histogram, exact = np.zeros(bins + 1, np.int64), np.zeros(bins + 1, np.int64)
     for b, n in sizes.groupBy("_bin").agg(F.sum("count")).collect():  # a row per bin
-        histogram[b] = n
-    made, cut = plan(histogram, bins)
-    runs, rests = _places(made, bins)
-    runs[0] = np.array([[0, rests, 1]], np.int64)
-    whole = histogram - cut
-    whole[0] = histogram[0]
-    # among the parts of 2^k bins, those that come from bin b begin here
-    begin = {1 << k: np.cumsum(cut * (np.arange(bins + 1) >> k & 1)) - cut * (np.arange(bins + 1) >> k & 1) for k in range(bins.bit_length())}
+        (exact if b < 0 else histogram)[abs(b)] = n
+    small = _Layout(exact, bins)
+    histogram[bundle] += small.sequences if short else 0  # no rest is so short that it shares the bundles' bin
+    large = _Layout(histogram, bins)
 
     earlier = F.coalesce(F.sum("count").over(Window.partitionBy("_bin").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = sizes.select(F.col("_bin").alias("_b"), F.col("_block").alias("_k"), earlier.alias("_before"))
@@ -210,24 +249,26 @@ def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame
             start, length = batch.column("start").to_numpy(), batch.column("length").to_numpy()
             rows: list[list[np.ndarray]] = []  # row, part, start, length, bin or minus part, rank
 
-            def add(at, part, s, n, kind, r, rows=rows):
-                rows.append([at, np.full(len(at), part), s, n, np.full(len(at), kind), r])
+            def add(at, part, s, n, sequence, rows=rows):
+                rows.append([at, np.full(len(at), part), s, n, sequence])
 
             for b in np.unique(owner).tolist():
                 at = np.flatnonzero(owner == b)
-                stays = rank[at] < whole[b]
+                layout, unit = (small, 1) if b < 0 else (large, step)
+                stays = rank[at] < layout.whole[abs(b)]
                 kept, split = at[stays], at[~stays]
-                add(kept, -1, start[kept], length[kept], b, rank[kept])
-                for k, size in enumerate(part_sizes(b) if len(split) else []):
-                    done = sum(part_sizes(b)[:k]) * step
-                    n = np.minimum(size * step, length[split] - done)
-                    add(split, k, start[split] + done, n, -size, rank[split] - whole[b] + begin[size][b])
-            at, part, s, n, kind, r = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 6
-            sequence = np.zeros(len(at), np.int64)
-            for b in np.unique(kind).tolist():
-                own = kind == b
-                run = runs[b][np.searchsorted(runs[b][:, 0], r[own], side="right") - 1]
-                sequence[own] = run[:, 1] + (r[own] - run[:, 0]) // run[:, 2]
+
+                def place(kind, ranks, b=b, layout=layout):
+                    found = layout.sequence(kind, ranks)
+                    return large.of_rest(bundle, found) if b < 0 else found
+
+                add(kept, -1, start[kept], length[kept], place(abs(b), rank[kept]))
+                done = 0
+                for k, size in enumerate(part_sizes(abs(b)) if len(split) else []):
+                    n = np.minimum(size * unit, length[split] - done)
+                    add(split, k, start[split] + done, n, place(-size, layout.part_rank(abs(b), size, rank[split])))
+                    done += size * unit
+            at, part, s, n, sequence = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 5
             new = {"start": pa.array(s), "length": pa.array(n)}
             columns = [new.get(c, None) if c in new else batch.column(c).take(pa.array(at)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(part.astype(np.int32))], [*names, "sequence_id", "part"])

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from policylog.llm.common import release_caches
 
-#: The training sample's bounds: labelled rows, and chunks of each (spread evenly over its text).
-TRAINING_ROWS, TRAINING_CHUNKS = 3_000, 12
+#: The training sample's bound: about so many labelled rows, each with its whole text.
+TRAINING_ROWS = 3_000
+#: Chunks that are worked on at once.
+BLOCK = 512
 CHUNK, OVERLAP, STRIDE, WIDTH, EMBED, FILTERS = 256, 32, 2, 8, 6, 24
 _STEP = CHUNK - OVERLAP
 
@@ -56,7 +58,7 @@ class Model:
         z = np.concatenate((pooled.mean(axis=0), pooled.max(axis=0))) @ self.out + self.base[0]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def score_text(self, text: str | None, block: int = 512) -> float:
+    def score_text(self, text: str | None, block: int = BLOCK) -> float:
         chunks = chunks_of((text or "").encode("utf-8", "surrogatepass"))
         total, most = np.zeros(FILTERS), np.zeros(FILTERS)
         for at in range(0, len(chunks), block):
@@ -82,7 +84,8 @@ def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 6, batch: int = 16,
             docs = [samples[i] for i in order[at : at + batch]]
             chunks = np.concatenate([c for c, _ in docs])
             owner = np.repeat(np.arange(len(docs)), [len(c) for c, _ in docs])
-            pooled, place = model.pooled(chunks, where=True)
+            parts = [model.pooled(chunks[i : i + BLOCK], where=True) for i in range(0, len(chunks), BLOCK)]
+            pooled, place = (np.concatenate(x) for x in zip(*parts))
             counts = np.bincount(owner)
             starts = np.cumsum(counts) - counts
             mean = np.add.reduceat(pooled, starts) / counts[:, None]
@@ -93,11 +96,14 @@ def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 6, batch: int = 16,
             g_pooled = error[owner, None] * model.out[:FILTERS] / counts[owner, None]
             g_pooled += error[owner, None] * model.out[FILTERS:] * (pooled == most[owner])
             g_pooled *= pooled > 0
-            at_bytes = place[:, :, None] * STRIDE + np.arange(WIDTH)
-            hit = chunks[np.arange(len(chunks))[:, None, None], at_bytes]  # chunk, filter, position
-            g_filters = np.einsum("cfpe,cf->pef", model.embed[hit], g_pooled).reshape(WIDTH * EMBED, FILTERS)
-            back = np.einsum("cf,pef->cfpe", g_pooled, model.filters.reshape(WIDTH, EMBED, FILTERS))
-            g_embed = np.stack([np.bincount(hit.ravel(), weights=back[..., e].ravel(), minlength=256) for e in range(EMBED)], axis=1)
+            g_filters, g_embed = np.zeros_like(model.filters), np.zeros_like(model.embed)
+            for i in range(0, len(chunks), BLOCK):
+                g, own = g_pooled[i : i + BLOCK], chunks[i : i + BLOCK]
+                at_bytes = place[i : i + BLOCK, :, None] * STRIDE + np.arange(WIDTH)
+                hit = own[np.arange(len(own))[:, None, None], at_bytes]  # chunk, filter, position
+                g_filters += np.einsum("cfpe,cf->pef", model.embed[hit], g).reshape(WIDTH * EMBED, FILTERS)
+                back = np.einsum("cf,pef->cfpe", g, model.filters.reshape(WIDTH, EMBED, FILTERS))
+                g_embed += np.stack([np.bincount(hit.ravel(), weights=back[..., e].ravel(), minlength=256) for e in range(EMBED)], axis=1)
             step += 1
             now = rate * (1 - step / (total + 1))
             for p, g, (m, v) in zip(model.parameters(), (g_embed, g_filters, g_pooled.sum(axis=0), g_out, error.sum(keepdims=True)), moments):
@@ -108,28 +114,19 @@ def fit(samples: list[tuple[np.ndarray, int]], epochs: int = 6, batch: int = 16,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = TRAINING_ROWS) -> Model:
-    """Fits on a hash sample of about max_rows labelled rows; of each at most TRAINING_CHUNKS chunks come to the driver.
+    """Fits on a hash sample of about max_rows labelled rows, whose whole texts come to the driver.
 
     Rows without label, id or text are left out; of several labels of one id the largest counts. Without any labelled
-    row the model scores every text alike, at 0.5.
+    row the model's score is near 0.5 for every text. Of rows that repeat an id the text that sorts first counts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     share = int(min(1.0, max_rows / max(known.count(), 1)) * (1 << 20))
     known = F.broadcast(known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share))  # about max_rows rows
     rows = docs.join(known, docs[id_col] == known["_id"]).where(F.col(text_col).isNotNull()).select("_id", "_label", F.col(text_col).cast("string").alias("_text"))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
-        for b in batches:
-            made = []
-            for text in b.column(2):
-                chunks = chunks_of(text.as_py().encode("utf-8", "surrogatepass"))
-                made.append(chunks[np.unique(np.linspace(0, len(chunks) - 1, TRAINING_CHUNKS).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["id", "label", "chunks"])
-
-    got = rows.select(F.col("_id").cast("long").alias("_id"), "_label", "_text").mapInArrow(sample, "id long, label int, chunks binary").dropDuplicates(["id"]).collect()
-    got.sort(key=lambda r: r.id)
-    return fit([(np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK), r.label) for r in got])
+    got = rows.select(F.col("_id").cast("long").alias("_id"), "_label", F.encode("_text", "utf-8").alias("_text")).groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
+    got.sort(key=lambda r: r["_id"])
+    return fit([(chunks_of(bytes(r["_text"])), r["_label"]) for r in got])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,6 +77,23 @@ def test_quality_edge_cases(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) and quality.keep_good(df, model, 1.1).count() == 0
 
 
+def test_query_scores_equal_a_plain_network(spark, tmp_path):
+    """op10 over whole texts: every window of every chunk, one at a time."""
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where(crc_mod("doc_id", 5) != 0))
+    texts = ["", None, "plain words", "ü" * 300, "word " * 400]
+    for text in texts:
+        data, rows = (text or "").encode(), []
+        for at in range(0, max(1, len(data) - quality.OVERLAP), quality.CHUNK - quality.OVERLAP):
+            chunk = np.frombuffer(data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0"), np.uint8)
+            windows = [model.embed[chunk[s : s + quality.WIDTH]].ravel() for s in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            rows.append(np.maximum(np.stack(windows) @ model.filters + model.bias, 0).max(axis=0))
+        pooled = np.stack(rows)
+        z = np.concatenate((pooled.mean(axis=0), pooled.max(axis=0))) @ model.out + model.base[0]
+        assert model.score_text(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.score == pytest.approx(model.score_text(texts[r.doc_id])) for r in quality.score(df, model).collect())
+
+
 # -- personal data -------------------------------------------------------------------------------------------------------
 
 
