@@ -4,11 +4,12 @@ Benchmark items are cut into passages and weighted by TF-IDF (a word counts by t
 word adds its idf to the product of two texts), with document frequencies counted over the whole corpus in one scan. Passages
 are taken in blocks; a distributed randomised SVD of a block gives its latent space, with as many dimensions as every passage
 needs to keep KEPT of its squared length. Overlapping windows of all documents are projected into it, and those whose cosine
-with a passage reaches a bound are its candidates. Candidates are settled word by word: the longest common subsequence (LCS)
-must cover most of the passage, and where it leaves room for a paraphrase the answer must be there too.
+with a passage reaches a bound are its candidates. Windows that hold too few of a passage's words for the longest common
+subsequence (LCS) to be long enough are told by one product of two small matrices and not projected, which loses nothing. Candidates are settled word by word: the LCS must cover most of the passage, and where it leaves room for a
+paraphrase the answer must be there too.
 
-The exact way for the rest: a passage whose words are in so many documents that they weigh next to nothing, or that the space
-does not hold, is compared with every window by the words that both hold instead.
+The exact way for the rest: for a passage whose words are in so many documents that they weigh next to nothing, or that the
+space does not hold, all windows that hold enough of its words are candidates.
 
 The benchmark is the query set: PASS passages at a time are searched in all documents in one scan.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -77,11 +79,11 @@ class Block:
     #: Each row's coordinates, and those of the passages at length 1.
     table: np.ndarray
     queries: np.ndarray
-    #: The least cosine of each passage; above 1 for those that are compared by words.
+    #: The least cosine of each passage; -1 for those that are compared by words.
     least: np.ndarray
-    #: The passages that are compared by words, and how often each holds a row.
-    plain: np.ndarray
+    #: How often each passage (column) holds a row, and the LCS that it needs.
     counted: np.ndarray
+    need: np.ndarray
     #: Each passage's words that can stand for its answer.
     content: list[set]
 
@@ -104,12 +106,20 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.nda
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        at, found, n = shared.value, np.zeros(len(shared.value), np.int64), 0
+        at, found, held, n = shared.value, np.zeros(len(shared.value), np.int64), Counter(), 0
+
+        def settle_held() -> None:
+            for w in at.keys() & held.keys():
+                found[at[w]] += held[w]
+            held.clear()
+
         for batch in batches:
             for text in batch.column(0):
                 n += 1
-                for w in at.keys() & set(words_of(text.as_py())):
-                    found[at[w]] += 1
+                held.update(set(words_of(text.as_py())))
+                if len(held) > 300_000:
+                    settle_held()
+        settle_held()
         hit = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(found[hit], n))], ["word", "n"])
 
@@ -206,51 +216,28 @@ def make_block(spark: SparkSession, passages: list[Passage], at: dict[str, int],
     queries, space = queries[:, :rank], space[:, :rank]
     n = np.array([len(p.words) for p in passages])
     faint = (held[:, -1] < KEPT) | (np.array([idf[[at[w] for w in p.words]].mean() for p in passages]) < FAINT)
-    least = np.where(faint, 2, COSINE * np.sqrt(n / PASSAGE)).astype(np.float32)
-    plain = np.flatnonzero(faint)
-    counted = np.zeros((len(own), len(plain)), np.float32)
-    for j, p in enumerate(plain):
-        counted[sparse[p][0], j] = sparse[p][1]
+    least = np.where(faint, -1, COSINE * np.sqrt(n / PASSAGE)).astype(np.float32)
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     content = [{w for w in p.words if not common[at[w]]} for p in passages]
-    return Block(passages, rows, (weight[:, None] * space).astype(np.float32), queries.astype(np.float32), least, plain, counted, content)
-
-
-def _need(n: int) -> float:
-    """The LCS that a passage of n words needs."""
-    return max(PARAPHRASE * n, min(n, 6))
+    counted = np.zeros((len(own), len(passages)), np.uint8)  # a passage has fewer than 256 words
+    for j, (terms, counts) in enumerate(sparse):
+        counted[terms, j] = counts
+    need = np.array([_need(len(p.words)) for p in passages], np.float32) - 1e-3
+    return Block(passages, rows, (weight[:, None] * space).astype(np.float32), queries.astype(np.float32), least, counted, need, content)
 
 
 def find(words: list[str], at: dict[str, int], blocks: list[Block], any_will_do: bool = False) -> list[tuple]:
     """(item, passage, start, passage words, LCS, cosine, answered) of the best window for each passage that is found."""
     codes = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
-    starts = np.arange(0, max(len(words) - WINDOW, 0) + STEP, STEP)
+    windows = max(len(words) - WINDOW, 0) // STEP + 1 + (len(words) > WINDOW and (len(words) - WINDOW) % STEP > 0)
     out = []
     for block in blocks:
         rows = block.rows[codes]
         places = np.flatnonzero(rows >= 0)
         rows = rows[places]
         best: dict[int, tuple] = {}
-        for first in range(0, len(starts), 256):
-            s = starts[first : first + 256]
-            lo, hi = np.searchsorted(places, s), np.searchsorted(places, s + WINDOW)
-            begin, end = int(lo[0]), int(hi[-1])
-            if begin == end:
-                continue
-            sums = np.zeros((end - begin + 1, block.table.shape[1]), np.float32)
-            np.cumsum(block.table[rows[begin:end]], axis=0, out=sums[1:])
-            latent = sums[hi - begin] - sums[lo - begin]
-            cosine = (latent @ block.queries.T) / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-            asked = cosine >= block.least
-            if len(block.plain):
-                asked[:, block.plain] = _hold_enough(block, s, places, rows)
-            region, last = set(), -1
-            for w, j in zip(*(x.tolist() for x in np.nonzero(asked))):
-                start, passage = int(s[w]), block.passages[j]
-                if start != last:
-                    last, region = start, set(words[max(0, start - STEP) : start + WINDOW + STEP])
-                if sum([x in region for x in passage.words]) >= _need(len(passage.words)) - 1e-9:
-                    _settle(best, words, start, j, float(cosine[w, j]), passage, block.content[j])
+        for first in range(0, windows, 256):
+            _search(block, best, words, places, rows, first, min(first + 256, windows))
             if best and any_will_do:
                 break
         out += [(block.passages[j].item, block.passages[j].number, *hit) for j, hit in best.items()]
@@ -259,15 +246,27 @@ def find(words: list[str], at: dict[str, int], blocks: list[Block], any_will_do:
     return out
 
 
-def _hold_enough(block: Block, s: np.ndarray, places: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Whether the region around each window holds enough of the words of each plain passage."""
-    lo, hi = np.searchsorted(places, s - STEP), np.searchsorted(places, s + WINDOW + STEP)
+def _search(block: Block, best: dict, words: list[str], places: np.ndarray, rows: np.ndarray, first: int, stop: int) -> None:
+    """Settles the candidates among the windows first to stop; places: where words of the block are, rows: which."""
+    s = np.arange(first, stop) * STEP
+    lo, hi = np.searchsorted(places, s - STEP), np.searchsorted(places, s + WINDOW + STEP)  # the region that is settled
     own, local = np.unique(rows[lo[0] : hi[-1]], return_inverse=True)
+    if not len(own):
+        return
+    width = hi - lo
     holds = np.zeros((len(s), len(own)), np.float32)
-    for k, (a, b) in enumerate(zip(lo - lo[0], hi - lo[0])):
-        holds[k, local[a:b]] = 1
-    need = np.array([_need(len(block.passages[j].words)) for j in block.plain], np.float32) - 1e-3
-    return holds @ block.counted[own] >= need
+    holds[np.repeat(np.arange(len(s)), width), local[np.arange(width.sum()) - np.repeat(np.cumsum(width) - width - lo + lo[0], width)]] = 1
+    found = np.nonzero(holds @ block.counted[own].astype(np.float32) >= block.need)
+    last, cosines = -1, None
+    for w, j in zip(*(x.tolist() for x in found)):
+        start, passage = (first + w) * STEP, block.passages[j]
+        if w != last:
+            last = w
+            a, b = np.searchsorted(places, (start, start + WINDOW))
+            latent = block.table[rows[a:b]].sum(axis=0)
+            cosines = block.queries @ latent / max(float(np.linalg.norm(latent)), 1e-9)
+        if cosines[j] >= block.least[j]:
+            _settle(best, words, start, j, float(cosines[j]), passage, block.content[j])
 
 
 def _settle(best: dict, words: list[str], start: int, j: int, cosine: float, passage: Passage, content: set) -> None:
