@@ -7,16 +7,28 @@ import gc
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a hash filter, and of one row of it: at most 4,096 rows of 4 KB are broadcast, whatever the number of keys.
 FILTER_BITS, _ROW_BITS = 1 << 27, 1 << 15
+#: Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 8 << 20
 #: Groups that hold more than this share of all rows are hot; there are fewer than its inverse.
 HOT_SHARE = 0.001
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH_BYTES of rows at a time, unless the session asks for less: a batch is held by the JVM and by
+    the worker, and two tasks of long texts side by side would else take hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint, which survives the loss of executors."""
+    small_batches(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -125,10 +138,12 @@ CACHES: list[Callable[[], bool]] = []
 
 
 def release_caches() -> None:
-    """Called on a worker by operators that need no cache of another's."""
+    """Called on a worker by operators that need no cache of another's. Freed memory goes back to the system, as the JVM
+    beside the worker shares its limit."""
     if any([empty() for empty in CACHES]):
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library: freed memory stays with the process
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: freed memory stays with the process
