@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylog.llm.common import crc_mod, table
+from policylog.llm.common import crc_mod, settle, table
 
 URL_RULES = [  # fixed values: host, path, verdict
     ("com", "/", "allow"),
@@ -20,18 +20,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from policylog.llm.language_id import identify, train
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(crc_mod("doc_id", 4) != 2))
+    model = train(docs.where(crc_mod("doc_id", 4) != 2))  # a null id has no remainder: not learned from, not held out
     found = identify(docs, model)
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from policylog.llm.token_store import scan_store, write_store
+    from policylog.llm.token_store import read_store, remove_store, write_store
 
-    folder = write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cut="leading", end_id=0)
-    return scan_store(spark, folder)
+    docs = table(spark, sf_dir, "documents")
+    folder = write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), cut="leading", end_id=0)
+    found = settle(read_store(docs, folder))
+    remove_store(folder)
+    return found
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from policylog.llm.url_filter import match_rules
 
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS rules(host, path, verdict)")
     return match_rules(table(spark, sf_dir, "pages"), rules)
 
 
@@ -100,7 +103,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
     scored = score(docs, model)
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def queries() -> dict:

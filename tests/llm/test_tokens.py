@@ -48,7 +48,7 @@ def test_store_round_trip(spark, tmp_path):
 
     import numpy as np
 
-    from policylog.llm.token_store import TokenStore, scan_store, write_store
+    from policylog.llm.token_store import TokenStore, read_store, remove_store, write_store
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
@@ -56,7 +56,7 @@ def test_store_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
     folder = write_store(df, path, str(tmp_path / "store"), shards=5)
     ids = lambda t: [*whole.encode(t or "", add_special_tokens=False).ids, 0]
-    got = sorted(scan_store(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
+    got = sorted(read_store(df, folder, with_ids=True).collect(), key=lambda r: r.start)
     assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), ids(t)) for i, t in rows)
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     at = 0
@@ -67,7 +67,37 @@ def test_store_round_trip(spark, tmp_path):
     for key in {i for i, _ in rows if i is not None}:
         assert sorted(x.tolist() for x in store.get(key)) == sorted(ids(t) for i, t in rows if i == key)
     assert not any(store.get(k) for k in range(2000, 2500))
-    assert scan_store(spark, write_store(df.limit(0), path, str(tmp_path / "none"))).count() == 0
+    some = read_store(df.where("doc_id % 10 = 9 or doc_id = 5000"), folder, with_ids=True).collect()
+    assert sorted((r.doc_id, r.ids) for r in some) == sorted((i, ids(t)) for i, t in rows if i is not None and (i >= 0 and i % 10 == 9 or i == 5000))
+    assert read_store(df.limit(0), write_store(df.limit(0), path, str(tmp_path / "none"))).count() == 0
+    for lacking in ("4L", "100000L"):
+        with pytest.raises(Exception, match="not in the store"):
+            read_store(spark.range(1).selectExpr(f"{lacking} as doc_id"), write_store(df.where("doc_id <> 4"), path, str(tmp_path / lacking))).collect()
+    remove_store(folder)
+    assert not (tmp_path / "store").exists()
+
+
+def test_a_wrong_slot_is_noticed(spark, tmp_path):
+    """The hash is the only way to a document: a damaged displacement or fingerprint can't go unseen."""
+    import json
+
+    import numpy as np
+
+    from policylog.llm.token_store import _HEADER, MAGIC, ShardIndex, read_store, write_store
+
+    df = spark.range(40).selectExpr("id as doc_id", "repeat('word ', cast(id as int)) as text")
+    folder = write_store(df, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "store"), shards=1)
+    [shard] = json.loads((tmp_path / "store" / "manifest.json").read_text())["shards"]
+    file = tmp_path / "store" / shard["idx_file"]
+    whole = file.read_bytes()
+    index = ShardIndex(whole)
+    (first,), (times,) = index.find(np.array([7], np.int64))
+    assert (first, times) == (7, 1) and read_store(df, folder).count() == 40
+    at = len(MAGIC) + _HEADER.size + index.offsets.nbytes
+    for begin, size in ((at, index.hash.displacement.nbytes), (len(whole) - index.prints.nbytes, index.prints.nbytes)):
+        file.write_bytes(whole[:begin] + bytes(b ^ 1 for b in whole[begin : begin + size]) + whole[begin + size :])
+        with pytest.raises(Exception, match="not in the store"):
+            read_store(df, folder).collect()
 
 
 def test_perfect_hash_is_minimal():
