@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the model: rows to learn from, and words and n-grams of each length to keep per language.
-TRAINING_ROWS, WORDS, GRAMS = 6_000, 20_000, 6_000
+#: The model's bound: about so many rows to learn from. All their words and n-grams are kept.
+TRAINING_ROWS = 6_000
 LONGEST = 5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -42,7 +42,7 @@ def grams_of(word: str, n: int) -> list[str]:
 class Model:
     """tables[n]: log frequencies by language for each n-gram; n = 0 holds whole words."""
 
-    def __init__(self, languages: list[str], counts: dict[int, dict[str, np.ndarray]], smoothing: float = 0.5):
+    def __init__(self, languages: list[str], counts: dict[int, dict[str, list[int] | np.ndarray]], smoothing: float = 0.5):
         self.languages = languages
         self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
         for n, grams in counts.items():
@@ -61,7 +61,8 @@ class Model:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_rows: int = TRAINING_ROWS) -> Model:
     """Counts the rows that hold a word, and the words that hold an n-gram, over a hash sample of about max_rows rows that
-    have text and language, on the executors; a word that one row repeats counts once, so no row can swamp the others. Only the most frequent of each language come to the driver (WORDS + LONGEST * GRAMS rows a language)."""
+    have text and language, on the executors; a word that one row repeats counts once, so no row can swamp the others.
+    Only these counts come to the driver, as Arrow batches: their number is bounded by the rows."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = known.count()
     share = int(min(1.0, max_rows / max(total, 1)) * (1 << 20))
@@ -87,24 +88,23 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
             yield last
 
     counted = rows.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    kept = counted.withColumn("place", place).where(F.col("place") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
-    got = kept.select("lang", "n", "gram", "c").toPandas()
-    languages = sorted(set(got["lang"]))
+    got = counted.toArrow()
+    languages = sorted(set(got.column("lang").to_pylist()))
     at = {x: i for i, x in enumerate(languages)}
-    counts: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
-    for lang, n, gram, c in got.itertuples(index=False):
-        counts[n].setdefault(gram, np.zeros(len(languages)))[at[lang]] += c
+    counts: dict[int, dict[str, list[int]]] = {n: {} for n in range(LONGEST + 1)}
+    for batch in got.sort_by([("n", "ascending"), ("gram", "ascending")]).to_batches(50_000):
+        for lang, n, gram, c in zip(*(batch.column(k).to_pylist() for k in ("lang", "n", "gram", "c"))):
+            counts[n].setdefault(gram, [0] * len(languages))[at[lang]] += c
     return Model(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 600_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 300_000) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (the winner's posterior under equal priors).
 
     A null text, one without a letter, or a model without languages gives ``und`` and 0. Ties go to the language that
     sorts first. Null ids and repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAINING_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value

@@ -28,6 +28,46 @@ def test_language_backoff_by_hand():
     assert language_id.words_of("A½b ½ 12_x") == {"a": 1, "b": 1, "x": 1}
 
 
+def test_language_against_a_plain_version(spark, tmp_path):
+    """The whole query on a small table: counts, backoff, sums and winner, each in the plainest way."""
+    import math
+    import re
+    from collections import Counter
+
+    from policylog.llm.queries import op1_language_id
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()[:60]
+    rows += [(None, "la casa", None), (None, "the house", "en"), (2000, None, "en"), (2001, "123 !", "de")]
+    spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    split = lambda t: Counter(w for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    learn = [(t, g) for i, t, g in rows if t is not None and g is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({g for _, g in learn})
+    counts = {n: {g: Counter() for g in langs} for n in range(6)}
+    for t, g in learn:
+        counts[0][g].update(split(t).keys())
+        for n in range(1, 6):
+            counts[n][g].update(x for w in split(t) for x in language_id.grams_of(w, n))
+    known = {n: set().union(*c.values()) for n, c in counts.items()}
+    log = lambda n, x, g: math.log((counts[n][g][x] + 0.5) / (sum(counts[n][g].values()) + 0.5 * len(known[n])))
+
+    def vector(w):
+        if w in known[0]:
+            return [log(0, w, g) for g in langs]
+        for n in range(5, 0, -1):
+            if hits := [x for x in language_id.grams_of(w, n) if x in known[n]]:
+                return [sum(log(n, x, g) for x in hits) / len(hits) for g in langs]
+        return [0.0] * len(langs)
+
+    texts = Counter((i, t) for i, t, _ in rows)
+    for r in op1_language_id(spark, str(tmp_path)).collect():
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        fits = []
+        for t in [t for i, t in texts if i == r.doc_id]:
+            z = [sum(c * v for c, v in zip(split(t).values(), x)) for x in zip(*map(vector, split(t)))]
+            fits.append((langs[z.index(max(z))], 1 / sum(math.exp(x - max(z)) for x in z)) if z else ("und", 0.0))
+        assert any(r.lang_pred == p and r.score == pytest.approx(x, abs=1e-6) for p, x in fits)
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", "de"), (5, "12 !? ½", "en"), (None, "the dog", None), (1, "the cat and the dog", "en"), (6, "der " * 30_000, "de")]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
