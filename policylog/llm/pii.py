@@ -2,18 +2,23 @@
 
 Regular expressions propose spans: strict ones (the base, which always stays) and loose ones for written-around forms.
 Five labelers of three kinds (format, gazetteer, context) vote on each proposal or abstain. The corpus is summed up as
-counts of vote patterns, whose number is fixed. On these, expectation-maximisation estimates each labeler's reliability
-per kind, and a logistic span classifier is trained on the resulting posteriors; loose spans that it accepts are added.
+counts of vote patterns with the span's features, whose number is fixed. On the votes, expectation-maximisation estimates
+each labeler's reliability per kind; the posteriors are the targets of a logistic span classifier, which sees the votes and
+what the labelers don't look at: digits, separators, the characters around the span and the word before it. Loose spans that
+it accepts are added.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylog.llm.common import settle
@@ -21,7 +26,7 @@ from policylog.llm.common import settle
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL_BODY = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -58,12 +63,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if is_ip(m[0])]
+        out += ip_spans(text)
         out += [("card", *m.span()) for m in _CARD.finditer(text) if is_card(m[0])]
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_DIGIT.findall(m[0])) <= 15]
     return out
 
 
+def ip_spans(text: str) -> list[tuple[str, int, int]]:
+    """A match of four numbers takes the first four of a chain of dotted numbers, then the next four, and so on; chains are
+    found in one sweep, however long a run of digits is."""
+    out = []
+    for m in _CHAIN.finditer(text):
+        if m[0].count(".") >= 3:
+            parts, at = m[0].split("."), m.start()
+            for k in range(0, len(parts) - 3, 4):
+                found = ".".join(parts[k : k + 4])
+                if is_ip(found):
+                    out.append(("ip", at, at + len(found)))
+                at += len(found) + 1
+    return out
+
+
 def is_ip(found: str) -> bool:
     return all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in found.split("."))
 
@@ -77,12 +97,19 @@ def is_card(found: str) -> bool:
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further proposals that overlap no base span of any kind and no earlier proposal of their own."""
-    out, taken = [], [(s, e) for _, s, e in base]
+    out, starts, ends = [], [], []  # what is taken, as intervals that don't overlap
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     kinds = ["email"] if re.search(r"\bat\b|[\[(] ?at", text, re.I) else []
     kinds += ["ip", "card", "phone"] if _DIGIT.search(text) else []
     for kind in kinds:
         for m in _LOOSE[kind].finditer(text):
-            if all(m.end() <= s or m.start() >= e for s, e in taken):
+            k = bisect_left(starts, m.end()) - 1  # the last one that begins before the proposal ends
+            if k < 0 or ends[k] <= m.start():
                 out.append((kind, *m.span()))
     return out
 
@@ -135,32 +162,60 @@ def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -
     return out
 
 
-def features(kind: str, answers: tuple[int, ...]) -> np.ndarray:
-    x = np.zeros(len(KINDS) * 2 + 2 * LABELERS)
-    x[KINDS.index(kind)] = 1
-    for j, a in enumerate(answers):
-        if a >= 0:
-            x[len(KINDS) + 2 * j + a] = 1
-    return x
+#: The classifier's cells: kinds, answers of the labelers, and per kind the values of the span's features.
+DIGITS, SEPARATORS, AROUND, BEFORE = 6, 4, 4, 16
+_FEATURES = DIGITS + SEPARATORS + 2 * AROUND + BEFORE
+CELLS = len(KINDS) + 3 * LABELERS + len(KINDS) * _FEATURES
+
 
+def _class(c: str) -> int:
+    return 0 if not c or c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
 
-def train(counts: dict[tuple[str, tuple[int, ...]], int], steps: int = 400) -> dict[tuple[str, tuple[int, ...]], float]:
-    """The span classifier's probability for each pattern: logistic regression on the posteriors, weighted by the log of the counts."""
-    soft = estimate(counts)
+
+def cells(text: str, kind: str, start: int, end: int, answers: tuple[int, ...]) -> list[int]:
+    """The classifier's cells that hold for a span: its kind, each labeler's answer, how many digits and separators it has,
+    the characters around it, and a hash of the word before it."""
+    span = text[start:end]
+    digits = len(_DIGIT.findall(span))
+    before = re.findall(r"\w+", text[max(0, start - 24) : start].lower())
+    values = [
+        (DIGITS, 0 if digits < 4 else 1 if digits < 9 else 2 if digits < 12 else 3 if digits < 13 else 4 if digits < 17 else 5),
+        (SEPARATORS, min(sum(not c.isalnum() for c in span) // 2, SEPARATORS - 1)),
+        (AROUND, _class(text[start - 1 : start])),
+        (AROUND, _class(text[end : end + 1])),
+        (BEFORE, 1 + zlib.crc32(before[-1].encode("utf-8", "surrogatepass")) % (BEFORE - 1) if before else 0),
+    ]
+    at = KINDS.index(kind)
+    out = [at] + [len(KINDS) + 3 * j + a + 1 for j, a in enumerate(answers)]
+    base = len(KINDS) + 3 * LABELERS + at * _FEATURES
+    for size, value in values:
+        out.append(base + value)
+        base += size
+    return out
+
+
+def train(counts: dict[tuple[str, tuple[int, ...], tuple[int, ...]], int], steps: int = 400) -> np.ndarray:
+    """The span classifier's weight for each cell: logistic regression on the posteriors of the votes, each pattern weighted
+    by the log of its count. counts: by kind, votes and cells."""
+    votes: Counter = Counter()
+    for (kind, answers, _), n in counts.items():
+        votes[kind, answers] += n
+    soft = estimate(votes)
+    theta = np.zeros(CELLS)
     if not soft:
-        return {}
-    keys = sorted(soft)
-    x = np.stack([features(*k) for k in keys])
-    y, weight = np.array([soft[k] for k in keys]), np.log1p([counts[k] for k in keys])
-    theta = np.zeros(x.shape[1])
+        return theta
+    keys = sorted(counts)
+    active = np.array([k[2] for k in keys])
+    y, weight = np.array([soft[k[:2]] for k in keys]), np.log1p([counts[k] for k in keys])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ theta))
-        theta -= x.T @ (weight * (p - y)) / weight.sum() * 2 + 1e-3 * theta
-    return dict(zip(keys, (1 / (1 + np.exp(-x @ theta))).tolist()))
+        p = 1 / (1 + np.exp(-np.clip(theta[active].sum(axis=1), -30, 30)))
+        slope = np.bincount(active.ravel(), weights=np.repeat(weight * (p - y), active.shape[1]), minlength=CELLS)
+        theta -= slope / weight.sum() + 1e-3 * theta
+    return theta
 
 
-_SPAN = "array<struct<kind:string,start:long,end:long,base:boolean,votes:array<int>>>"
-_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.list_(pa.int32()))]))
+_SPAN = "array<struct<kind:string,start:long,end:long,base:boolean,votes:array<int>,cells:array<int>>>"
+_SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.list_(pa.int32())), ("cells", pa.list_(pa.int32()))]))
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +225,11 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = x.as_py() or ""
             base = base_spans(text)
             spans = [(*s, True) for s in base] + [(*s, False) for s in loose_spans(text, base)]
-            rows.append([{"kind": k, "start": s, "end": e, "base": b, "votes": votes(text, k, s, e, b)} for k, s, e, b in spans])
+            own = []
+            for k, s, e, b in spans:
+                answers = votes(text, k, s, e, b)
+                own.append({"kind": k, "start": s, "end": e, "base": b, "votes": answers, "cells": cells(text, k, s, e, answers)})
+            rows.append(own)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN_TYPE)], ["doc_id", "spans"])
 
 
@@ -179,20 +238,22 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Base spans are always there; others only if the classifier gives them at least threshold. A null text counts as empty
     and has no spans. Null ids and repeated rows are kept; an empty table gives no rows; other columns are ignored.
-    Only the counts of vote patterns (at most 4 x 3^5) come to the driver.
+    Only the counts of patterns (votes and features; bounded whatever the corpus) come to the driver.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     proposed = settle(rows.mapInArrow(_propose, f"doc_id long, spans {_SPAN}"))
-    patterns = proposed.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    chances = train({(r.kind, tuple(r.votes)): r["count"] for r in patterns})
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for spans in batch.column(1).to_pylist():
-                spans = [s | {"probability": chances[s["kind"], tuple(s["votes"])]} for s in spans]
-                out.append(sorted((s for s in spans if s["base"] or s["probability"] >= threshold), key=lambda s: (KINDS.index(s["kind"]), s["start"])))
-            kind = pa.list_(pa.struct([*_SPAN_TYPE.value_type, pa.field("probability", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
-
-    return proposed.mapInArrow(decide, f"doc_id long, spans {_SPAN.replace('votes:array<int>', 'votes:array<int>,probability:double')}")
+    patterns = proposed.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.cells").count().collect()
+    theta = train({(r.kind, tuple(r.votes), tuple(r.cells)): r["count"] for r in patterns})
+
+    weights = F.array(*[F.lit(float(w)) for w in theta])
+
+    def judged(s: Column) -> Column:
+        z = F.aggregate(s["cells"], F.lit(0.0), lambda total, c: total + F.get(weights, c))
+        place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
+        return F.struct(place.alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["votes"].alias("votes"), (1 / (1 + F.exp(-z))).alias("probability"))
+
+    def shown(s: Column) -> Column:
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["votes"].alias("votes"), s["probability"].alias("probability"))
+
+    kept = F.filter(F.transform("spans", judged), lambda s: s["base"] | (s["probability"] >= threshold))
+    return proposed.select("doc_id", F.transform(F.array_sort(kept), shown).alias("spans"))

@@ -169,8 +169,51 @@ def test_estimation_tells_good_labelers_from_bad():
     counts = {("phone", good): 500, ("phone", bad): 500, ("phone", odd): 5}
     p = pii.estimate(counts)
     assert p["phone", good] > 0.9 > 0.1 > p["phone", bad]
-    q = pii.train(counts)
-    assert q["phone", good] > 0.8 and q["phone", bad] < 0.2 and pii.train({}) == {}
+    text = "call 555 123 4567"
+    of = lambda answers: tuple(pii.cells(text, "phone", 5, len(text), answers))
+    theta = pii.train({(*k, of(k[1])): n for k, n in counts.items()})
+    chance = lambda answers: 1 / (1 + np.exp(-theta[list(of(answers))].sum()))
+    assert chance(good) > 0.8 and chance(bad) < 0.2 and not pii.train({}).any()
+
+
+def test_estimation_equals_plain_em():
+    """One span at a time instead of counted patterns."""
+    rng = random.Random(4)
+    spans = []
+    for _ in range(400):
+        real = rng.random() < 0.4
+        spans.append(tuple(rng.choice((-1, int(rng.random() < (0.85 if real else 0.2)))) for _ in range(pii.LABELERS)))
+    counts = {("card", v): spans.count(v) for v in set(spans)}
+    p = {v: (sum(a == 1 for a in v) + 0.5) / (sum(a >= 0 for a in v) + 1) for v in spans}
+    for _ in range(50):
+        prior = min(max((sum(p[v] for v in spans) + 1) / (len(spans) + 2), 0.01), 0.99)
+        table = {}
+        for j in range(pii.LABELERS):
+            for a in (-1, 0, 1):
+                yes, no = (sum(w(v) for v in spans if v[j] == a) + 1 for w in (lambda v: p[v], lambda v: 1 - p[v]))
+                table[j, a] = (yes / (sum(p[v] for v in spans) + 3), no / (sum(1 - p[v] for v in spans) + 3))
+        new = {}
+        for v in set(spans):
+            yes, no = prior, 1 - prior
+            for j, a in enumerate(v):
+                yes, no = yes * table[j, a][0], no * table[j, a][1]
+            new[v] = yes / (yes + no)
+        p = new
+    got = pii.estimate(counts)
+    assert all(got["card", v] == pytest.approx(p[v], abs=1e-6) for v in p)
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    texts = ["1" * 400_000, "1.2.3.4." * 50_000, "(555) 123-4567 a@b.com " * 8_000, "+1 " * 100_000, "1." * 200_000, "a" * 400_000 + "@"]
+    for text in texts:
+        begin = time.process_time()
+        base = pii.base_spans(text)
+        loose = pii.loose_spans(text, base)
+        taken = sorted([(s, e) for _, s, e in base])
+        assert time.process_time() - begin < 8, text[:9]
+        assert len(loose) + len(taken) > 0 or "1.2" not in text
 
 
 def test_personal_data_edge_cases(spark):
