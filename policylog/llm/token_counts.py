@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylog.llm.bpe import PieceEncoder
-from policylog.llm.common import shuffle_partitions
+from policylog.llm.common import release_caches, shuffle_partitions
 
 BLOCK_CHARS = 16 << 20
 HOT_SHARE = 64
@@ -44,6 +44,10 @@ def _postings(path: str, cut: str, buckets: int):
     documents' ids, sizes and what the hot pre-tokens came to."""
 
     def close(block: int, ids: list, sizes: list, codes: dict, per_doc: list) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        # Not by number alone: where a repeated attempt deals rows in another order, sums must not meet other documents.
+        block = xxh64_intdigest(repr((block, ids, sizes))) >> 1
         encoder = PieceEncoder.get(path, cut)
         n = len(ids)
         lengths = np.array([len(x) for x in per_doc], np.int64)
@@ -77,8 +81,10 @@ def _postings(path: str, cut: str, buckets: int):
             yield _row(block, b, None, None, zlib.compress(packed, 1), zlib.compress(table[rows].tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("pieces")
         part, seq = TaskContext.get().partitionId(), 0
-        pieces_of = PieceEncoder.get(path, cut).pieces
+        encoder = PieceEncoder.get(path, cut)
+        pieces_of = encoder.pieces
 
         def fresh():
             codes: dict = defaultdict()
@@ -89,6 +95,8 @@ def _postings(path: str, cut: str, buckets: int):
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = x.as_py() or ""
+                if encoder.checked < 5:
+                    encoder.encode([text])  # which proves the cuts right for this file
                 ids.append(i)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 per_doc.append(np.fromiter(map(codes.__getitem__, pieces_of(text)), np.int64))
@@ -103,10 +111,11 @@ def _postings(path: str, cut: str, buckets: int):
     return run
 
 
-def _sums(path: str, cut: str, cache_pieces: int = 1_000_000):
+def _sums(path: str, cut: str, cache_pieces: int = 400_000):
     """A bucket's postings -> per block the documents that gain tokens, and how many. Document lists pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("pieces")
         encoder, known = PieceEncoder.get(path, cut), {}
         for batch in batches:
             for block, bucket, ids, sizes, tokens, postings in zip(*(c.to_pylist() for c in batch.columns)):
