@@ -62,7 +62,7 @@ def _forget() -> bool:
     return held
 
 
-CACHES.append(_forget)
+CACHES["pieces"] = _forget
 #: A word of common letters with punctuation behind it: two pre-tokens in either way of cutting.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -88,7 +88,7 @@ class _Cache(dict):
 class PieceEncoder:
     """ids of texts as little-endian unsigned integers of ``width`` bytes (2 where the vocabulary allows)."""
 
-    def __init__(self, path: str, cut: str, cache_pieces: int = 1_200_000):
+    def __init__(self, path: str, cut: str, cache_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

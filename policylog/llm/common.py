@@ -134,13 +134,13 @@ def one_row_each(docs: DataFrame, id_col: str, digest: Column, repeated: DataFra
 
 #: What empties a Python worker's caches. Workers are reused from stage to stage, and what one operator has cached would
 #: stand in the way of the next one's memory.
-CACHES: list[Callable[[], bool]] = []
+CACHES: dict[str, Callable[[], bool]] = {}
 
 
-def release_caches() -> None:
-    """Called on a worker by operators that need no cache of another's. Freed memory goes back to the system, as the JVM
+def release_caches(keep: str | None = None) -> None:
+    """Called on a worker by operators that need no cache of another's, only their own. Freed memory goes back to the system, as the JVM
     beside the worker shares its limit."""
-    if any([empty() for empty in CACHES]):
+    if any([empty() for name, empty in CACHES.items() if name != keep]):
         gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("words")
         for batch in batches:
             made = np.array([signature(x.as_py(), shingle, words) for x in batch.column(1)], np.uint64).reshape(-1, words).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * (words - 1), pa.int32()), pa.array(made[:, 1:].ravel()))
@@ -184,7 +184,7 @@ def _compare(bits, labels, a, b, c, d, budget, merge) -> None:
 
 def _joined(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("words")
         for keys, fps in _whole_groups(batches):
             u, v = trie_links(keys, fps, budget)
             yield pa.RecordBatch.from_arrays([pa.array(fps[u]), pa.array(fps[v])], ["u", "v"])
@@ -258,11 +258,11 @@ def _forget() -> bool:
     return held
 
 
-CACHES.append(_forget)
+CACHES["words"] = _forget
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 250_000:
         _WORDS.clear()
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
@@ -318,7 +318,7 @@ def _described(shingle: int, similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
-        release_caches()
+        release_caches("words")
         known, held = common.value
         seen: set[int] = set()
         for batch in batches:
@@ -396,7 +396,7 @@ def _met(similarity: float):
     are sorted by key and sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("words")
         for key, sid, n, pos in _whole_groups(batches):
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
             key, sid, n, pos = key[new], sid[new], n[new], pos[new]
@@ -413,7 +413,7 @@ def _cross_pairs(similarity: float):
     first common shingle bounds what they share by what is left of both, so no pair of the similarity is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("words")
         for key, label, sid, n, pos in _whole_groups(batches):
             _, end = _edges(key)
             own = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
@@ -455,7 +455,7 @@ def _similar(pairs: DataFrame, made: DataFrame, texts: DataFrame, shingle: int,
     pairs; the texts of the others are read again, and only theirs are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
+        release_caches("words")
         last, mine = None, np.array([], np.int64)
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)

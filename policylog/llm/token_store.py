@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylog.llm.bpe import PieceEncoder, batches_of
-from policylog.llm.common import shared_dir, shuffle_partitions
+from policylog.llm.common import release_caches, shared_dir, shuffle_partitions
 
 MAGIC = b"TOKSTORE1\n"
 #: width of an id, seed, nulls in front, documents, distinct ids, buckets
@@ -143,6 +143,7 @@ class ShardIndex:
 
 def _writer(folder: str, path: str, cut: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("pieces")
         encoder, (fs, base) = PieceEncoder.get(path, cut), file_system(folder)
         width = max(encoder.width, 2 if end_id < 1 << 16 else 4)
         dtype = np.dtype(f"<u{width}")
