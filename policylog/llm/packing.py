@@ -29,9 +29,18 @@ BINS = 512
 GAP = 2
 
 
-def tokenise_pieces(docs: DataFrame, tokenizer_path: str, cut: str = "dropped", end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise_pieces(docs: DataFrame, tokenizer_path: str, cut: str = "dropped", end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, digests: bool = False) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit) per piece: full windows and the rest of each
-    document's ids with end_id behind them. A null text counts as empty and gives one piece with the end id."""
+    document's ids with end_id behind them. With digests the CRC-32 of the ids (ids_crc32) and of each part that the piece may
+    be cut into (part_crc32) take the place of ids. A null text counts as empty and gives one piece with the end id."""
+    schema = "doc_id long, start long, length long, doc_tokens long, " + ("ids_crc32 long, part_crc32 array<long>" if digests else "ids binary")
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64()] * 4 + ([pa.int64(), pa.list_(pa.int64())] if digests else [pa.binary()])
+
+    def told(ids: bytes, n: int) -> tuple:
+        if not digests:
+            return (ids,)
+        return zlib.crc32(ids), [zlib.crc32(ids[4 * s : 4 * (s + k)]) for s, k in parts_of(n, window, bins)] if n < window else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches("pieces")
@@ -40,17 +49,16 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, cut: str = "dropped",
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for first, texts in batches_of(batch.column(1)):
-                rows: list[list] = [[], [], [], [], []]
+                rows = []
                 for i, made in enumerate(encoder.encode(texts)):
                     ids = np.concatenate((np.frombuffer(made, encoder.dtype).astype("<u4"), end))
                     for start in range(0, len(ids), window):
                         part = ids[start : start + window]
-                        for column, value in zip(rows, (keys[first + i], start, len(part), len(ids), part.tobytes())):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                        rows.append((keys[first + i], start, len(part), len(ids), *told(part.tobytes(), len(part))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(run, schema)
 
 
 @functools.cache
@@ -280,26 +288,9 @@ def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame
     return placed.select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"), "part")
 
 
-def piece_digests(pieces: DataFrame, window: int = WINDOW, bins: int = BINS) -> DataFrame:
-    """pieces with the CRC-32 of their ids (ids_crc32) and of each of their parts (part_crc32) in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches("pieces")
-        for batch in batches:
-            whole, parts = [], []
-            for n, ids in zip(batch.column("length").to_pylist(), batch.column("ids").to_pylist()):
-                whole.append(zlib.crc32(ids))
-                parts.append([zlib.crc32(ids[4 * s : 4 * (s + k)]) for s, k in parts_of(n, window, bins)] if n < window else [])
-            kept = [n for n in batch.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], [*kept, "ids_crc32", "part_crc32"])
-
-    schema = pieces.drop("ids").withColumn("ids_crc32", F.lit(0).cast("long")).withColumn("part_crc32", F.array(F.lit(0).cast("long"))).schema
-    return pieces.mapInArrow(run, schema)
-
-
 def packed_digests(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each placed piece or part."""
-    packed = pack(piece_digests(tokenise_pieces(docs, tokenizer_path, **how)))
+    packed = pack(tokenise_pieces(docs, tokenizer_path, digests=True, **how))
     crc = F.when(F.col("part") < 0, F.col("ids_crc32")).otherwise(F.get("part_crc32", F.col("part")))
     return packed.select("doc_id", "start", "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -232,8 +232,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return attach_groups(marked, groups, "fp", "size").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-#: Bits in which the fingerprints of first candidates may differ; documents whose shingles tell which are common.
-NEAR_BITS, SAMPLE = 4, 4_000
+#: Bits in which the fingerprints of first candidates may differ; the share of the texts whose shingles tell which are common,
+#: and how many of these are kept.
+NEAR_BITS, SAMPLED, COMMON = 4, 8, 1_000_000
 _PAIRS = 1 << 20
 _SETS = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -348,16 +349,17 @@ def _described(shingle: int, similarity: float, common):
 
 
 def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least three of about SAMPLE texts hold, ascending, and how many hold them. They only set the order
-    in which shingles are taken, so any sample gives the same result."""
+    """Shingles that at least two texts hold, of one in SAMPLED, ascending, and how many hold them; the COMMON most frequent.
+    They only set the order in which shingles are taken: any sample gives the same result, a good one fewer candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches("words")
         for batch in batches:
             for text in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle))], ["x"])
 
-    n = max(1, texts.count() // SAMPLE)
-    rows = texts.where(F.pmod("t", F.lit(n)) == 0).mapInArrow(run, "x long").groupBy("x").count().where("count > 2").toArrow()
+    held = texts.where(F.pmod("t", F.lit(SAMPLED)) == 0).mapInArrow(run, "x long").groupBy("x").count().where("count > 1")
+    rows = held.orderBy(F.desc("count"), "x").limit(COMMON).toArrow()
     found, held = rows.column(0).to_numpy(), rows.column(1).to_numpy()
     order = np.argsort(found)
     return found[order], held[order]
