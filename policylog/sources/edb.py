@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 from typing import TYPE_CHECKING
 
@@ -95,7 +97,7 @@ class Edb:
 
     def add_dataframe(self, name: str, df: DataFrame) -> None:
         """The rows of a DataFrame as facts, by position; repeats are fine. Columns must be integral, string, boolean or the
-        mixed struct. Facts have no nulls: rows with one are left out."""
+        mixed struct. A null or a string over the limit fails the solve: a policy must not lose facts in silence."""
         self._predicate(name, len(df.columns) if df.columns != [UNIT] else 0)
         relation_of(df)
         self.frames.setdefault(name, []).append(df)
@@ -106,6 +108,12 @@ class Edb:
         for name, predicate in self.ruleset.registry.predicates.items():
             if predicate.kinds & Kind.EDB:
                 out[name] = self._relation(name, predicate.arity)
+        if (faults := self.faults(out)) is not None:
+            worst = faults.agg(F.max("nulls").alias("nulls"), F.max("long").alias("long")).first()
+            if worst.nulls:
+                raise DatalogError(Code.INVALID_FIELD, "a base fact holds a null", "filter or fill nulls before add_dataframe", category="malformed_edb", deny_reason="DENY_EDB_MALFORMED")
+            if worst.long:
+                raise DatalogError(Code.PAYLOAD_TOO_LARGE, "a base fact holds a string over the limit", category="malformed_edb", deny_reason="DENY_EDB_MALFORMED")
         if self.limits.edb_facts is not None and self.frames:
             self._count(out)
         return out
@@ -117,12 +125,25 @@ class Edb:
         if len(parts) == 1 and not self.frames.get(name):
             return parts[0]
         kinds = tuple(Kinds().union(*(p.kinds[i] for p in parts)) for i in range(arity))
-        frames = [p.df.select(*[encode(F.col(f"a{i}"), k, w).alias(f"a{i}") for i, (k, w) in enumerate(zip(p.kinds, kinds))] or [F.lit(True).alias(UNIT)]).dropna(subset=columns(arity)) for p in parts]
+        frames = [p.df.select(*[encode(F.col(f"a{i}"), k, w).alias(f"a{i}") for i, (k, w) in enumerate(zip(p.kinds, kinds))] or [F.lit(True).alias(UNIT)]) for p in parts]
         df = frames[0]
         for more in frames[1:]:
             df = df.unionByName(more)
         return Relation(df, kinds)
 
+    def faults(self, relations: dict[str, Relation]) -> DataFrame | None:
+        """How many rows of DataFrames hold a null (column nulls) or a string over the limit (column long); None if there can
+        be neither. It is lazy: the solver asks for it once, together for all predicates."""
+        found = []
+        for name in self.frames:
+            df, kinds = relations[name].df, relations[name].kinds
+            texts = [F.col(f"a{i}") if len(k) == 1 else F.col(f"a{i}.{FIELDS[1]}") for i, k in enumerate(kinds) if 1 in k]
+            null = functools.reduce(operator.or_, [F.col(f"a{i}").isNull() for i in range(len(kinds))], F.lit(False))
+            long = functools.reduce(operator.or_, [F.coalesce(F.octet_length(t) > self.limits.string_bytes, F.lit(False)) for t in texts], F.lit(False))
+            if kinds:
+                found.append(df.agg(F.max(null.cast("int")).alias("nulls"), F.max(long.cast("int")).alias("long")))
+        return functools.reduce(DataFrame.unionByName, found) if found else None
+
     def _count(self, relations: dict[str, Relation]) -> None:
         """Only under limits: distinct facts per predicate, in one action."""
         counts = [r.df.distinct().agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, r in relations.items()]
