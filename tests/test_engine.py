@@ -130,7 +130,7 @@ def test_capacities(spark):
 
 
 def test_dataframes_zero_arity_and_rules_without_atoms(spark):
-    df = spark.createDataFrame([(1, 2), (2, 3), (2, 3), (None, 4)], "x int, x2 short")
+    df = spark.createDataFrame([(1, 2), (2, 3), (2, 3)], "x int, x2 short")
     r = solved(spark, 'flag() :- edge(_, _). left(X) :- edge(X, _), flag(). right(1) :- 1 < 2, not(safe("a")). both("a") :- not(flag()).', [], frames=[("edge", df)])
     assert rows(r.relation("left")) == [(1,), (2,)] and rows(r.relation("right")) == [(1,)] and r.count("both") == 0
     assert r.contains_fact("flag")
@@ -259,3 +259,14 @@ def test_streamed_batches(spark, tmp_path):
     writer = solve_each_batch(stream, ruleset, "edge", lambda edb: edb.add_fact("edge", 3, 4), lambda r, n: seen.append(r.count("path")))
     writer.option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     assert seen == [6]
+
+
+@pytest.mark.parametrize("program,rows,code", [("p(X) :- e(X, _).", [("a", 1), ("b", None)], Code.INVALID_FIELD), ("p(X) :- e(X, _).", [("x" * 1025, 1)], Code.PAYLOAD_TOO_LARGE)])
+def test_facts_of_dataframes_fail_closed(spark, program, rows, code):
+    engine = Engine(spark)
+    engine.register_domain("d", [Predicate("e", 2, Kind.EDB), Predicate("p", 1, Kind.IDB | Kind.QUERY)])
+    edb = (ruleset := engine.load_inline_ruleset("d", "closed", program)).edb()
+    edb.add_dataframe("e", spark.createDataFrame(rows, "s string, n long"))
+    with pytest.raises(DatalogError) as caught:
+        ruleset.solve(edb)
+    assert caught.value.code == code and caught.value.category == "malformed_edb"
