@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from policylog.functions.comparisons import KIND_ERROR, TRUE, can_fail, status
 from policylog.functions.terms import Kinds, encode, equals, kinds_of_type, literal, of_kinds, type_of
-from policylog.plans.analyze import join_order
 from policylog.plans.ir import Atom, Comparison, Const, Negative, Positive, Rule, Var
 
 #: Column of a relation without terms.
@@ -105,7 +104,7 @@ def derive(spark: SparkSession, rule: Rule, scan: Callable[[int, Atom], Relation
         return Derivation(None, [])
     finally_used = rule.head.variables().union(*(x.variables() if isinstance(x, Comparison) else x.atom.variables() for x in rule.body if not isinstance(x, Positive)))
     rows, bound = spark.range(1).select(F.lit(True).alias(UNIT)), {}
-    pending = [i for i in join_order(rule, delta) if i in atoms]
+    pending = sorted(atoms, key=lambda i: i != delta)  # the delta first, else as written: Catalyst has the statistics
     started = False
     while pending:
         # Whatever shares a variable goes first, so that a cross product is made only where the rule itself is one.

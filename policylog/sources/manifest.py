@@ -37,12 +37,12 @@ def _bad(diagnostic: str, message: str, code: Code = Code.INVALID_FIELD, **where
 
 def _fields(entry: object, known: dict, optional: set[str], what: str) -> dict:
     if not isinstance(entry, dict):
-        raise _bad("MANIFEST_INVALID_FIELD", f"{what} must be an object", field=what)
+        raise _bad("MANIFEST_INVALID_FIELD", f"{what} isn't a JSON object", field=what)
     if extra := [k for k in entry if k not in known and k not in optional]:
-        raise _bad("MANIFEST_UNKNOWN_FIELD", f"unknown field in {what}", field=extra[0])
+        raise _bad("MANIFEST_UNKNOWN_FIELD", f"{what} has a field that manifests don't have", field=extra[0])
     for name, of in known.items():
         if not isinstance(entry.get(name), of):
-            raise _bad("MANIFEST_INVALID_FIELD", f"missing or mistyped field in {what}", field=name)
+            raise _bad("MANIFEST_INVALID_FIELD", f"{what} lacks a field, or it has another type", field=name)
     return entry
 
 
@@ -52,7 +52,7 @@ def load_manifest(engine: Engine, text: str | bytes, bundle: Mapping[str, str |
     try:
         root = json.loads(text)
     except (ValueError, UnicodeError) as e:
-        raise _bad("MANIFEST_INVALID_JSON", "invalid manifest JSON") from e
+        raise _bad("MANIFEST_INVALID_JSON", "the manifest can't be read as JSON") from e
     root = _fields(root, ROOT, set(), "manifest")
     profile = engine.profile if profile is None else profile
     if root["default_profile"] != profile:
@@ -62,22 +62,22 @@ def load_manifest(engine: Engine, text: str | bytes, bundle: Mapping[str, str |
         entry = _fields(entry, POLICY, OPTIONAL, "policy")
         if entry["enabled"]:
             if len(out.rulesets) >= engine.limits.policies:
-                raise DatalogError(Code.PAYLOAD_TOO_LARGE, "too many policies")
+                raise DatalogError(Code.PAYLOAD_TOO_LARGE, "the manifest enables more policies than an engine may hold")
             out.rulesets.append(_policy(engine, entry, bundle, allow_test_only, out))
     return out
 
 
 def _policy(engine: Engine, entry: dict, bundle: Mapping[str, str | bytes], allow_test_only: bool, out: PolicySet) -> Ruleset:
     if entry["domain"] not in engine.domains.known:
-        raise _bad("MANIFEST_UNKNOWN_DOMAIN", "unknown policy domain", Code.UNSUPPORTED, domain=entry["domain"])
+        raise _bad("MANIFEST_UNKNOWN_DOMAIN", "no domain of this name is registered", Code.UNSUPPORTED, domain=entry["domain"])
     if entry["mode"] == "test_only" and not allow_test_only:
-        raise _bad("MANIFEST_TEST_ONLY_REJECTED", "test-only policy rejected", Code.FORBIDDEN)
+        raise _bad("MANIFEST_TEST_ONLY_REJECTED", "this caller doesn't load policies for tests", Code.FORBIDDEN)
     if entry["mode"] not in MODES:
-        raise _bad("MANIFEST_INVALID_FIELD", "invalid policy mode", field="mode")
+        raise _bad("MANIFEST_INVALID_FIELD", f"a policy's mode is one of {', '.join(MODES)}", field="mode")
     if not re.fullmatch("[0-9a-f]{64}", entry["sha256"]):
-        raise _bad("MANIFEST_INVALID_FIELD", "sha256 must be lower-case hexadecimal", field="sha256")
+        raise _bad("MANIFEST_INVALID_FIELD", "a SHA-256 is 64 digits of 0-9 and a-f", field="sha256")
     if entry["file"] not in bundle:
-        raise _bad("MANIFEST_POLICY_NOT_FOUND", "policy text not found", Code.NOT_FOUND, file=entry["file"])
+        raise _bad("MANIFEST_POLICY_NOT_FOUND", "there is no rule text of this name", Code.NOT_FOUND, file=entry["file"])
     source = bundle[entry["file"]]
     data = source.encode() if isinstance(source, str) else source
     if hashlib.sha256(data).hexdigest() != entry["sha256"]:
@@ -91,7 +91,7 @@ def _policy(engine: Engine, entry: dict, bundle: Mapping[str, str | bytes], allo
             raise _bad("REGISTRY_CONFLICT", "queries must name QUERY predicates of the domain", predicate=str(name))
         allowed.add((name, arity))
     if len(allowed) > engine.limits.query_whitelist:
-        raise DatalogError(Code.PAYLOAD_TOO_LARGE, "too many queries")
+        raise DatalogError(Code.PAYLOAD_TOO_LARGE, "the manifest allows more queries than a ruleset may list")
     ruleset.whitelist = allowed
     out.queries |= allowed
     return ruleset
@@ -100,7 +100,7 @@ def _policy(engine: Engine, entry: dict, bundle: Mapping[str, str | bytes], allo
 def safe_path(base: Path, name: str) -> Path:
     """Only relative paths without .. or backslashes."""
     if not name or name.startswith("/") or "\\" in name or ".." in name.split("/"):
-        raise _bad("MANIFEST_INVALID_FIELD", "unsafe policy path", Code.FORBIDDEN, file=name)
+        raise _bad("MANIFEST_INVALID_FIELD", "rule texts must lie in the manifest's folder", Code.FORBIDDEN, file=name)
     return base / name
 
 
