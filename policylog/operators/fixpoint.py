@@ -1,9 +1,10 @@
 """The least model of a program, stratum by stratum.
 
-Unlimited programs are evaluated by strongly connected groups of predicates. Groups without recursion stay lazy: they are
-plain unions of joins with one distinct, and the optimiser sees through all of them. Recursive groups run a semi-naive loop:
-each round joins the facts that are new since the last round, old facts elsewhere, and removes what is known. Every round's
-new facts are checkpointed reliably, which counts them and cuts the plan at once.
+Unlimited programs are evaluated by strongly connected groups of predicates. Groups without recursion that one atom reads
+stay lazy: they are plain unions of joins with one distinct, and the optimiser sees through all of them. Those that several
+atoms read are computed once. Recursive groups run a semi-naive loop: each round joins the facts that are new since the last
+round, old facts elsewhere, and removes what is known. Every round's new facts are checkpointed reliably, which counts them
+and cuts the plan at once; what the rounds read from outside is computed once, before the first of them.
 
 Programs under fact or depth limits are evaluated in rounds over all predicates of a stratum together, because the depth
 limit counts those rounds.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import functools
 import itertools
 import operator
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +68,8 @@ class Solver:
         self.kinds: KindTable = infer_kinds(program.rules, {n: r.kinds for n, r in base.items()})
         self.model = Model({})
         self.failures: list[DataFrame] = []
+        self.readers = Counter(a.predicate.name for r in program.rules for _, a in (*r.positives(), *r.negatives()))
+        self.settled: dict[str, Relation] = {}
 
     def run(self) -> Model:
         for stratum in range(self.program.max_stratum + 1):
@@ -86,6 +90,8 @@ class Solver:
 
     def relation(self, atom: Atom) -> Relation:
         name = atom.predicate.name
+        if name in self.settled:
+            return self.settled[name]
         if name in self.base:
             return self.base[name]
         return self.model.derived.get(name) or empty(self.spark, self.kinds.get(name, (frozenset(),) * atom.predicate.arity))
@@ -104,6 +110,13 @@ class Solver:
     def plain(self, rules: list[Rule], name: str) -> None:
         df = self.made(name, [derive(self.spark, r, lambda _, a: self.relation(a), self.kinds) for r in rules])
         self.model.derived[name] = Relation(df, self.kinds[name])
+        if self.readers[name] > 1:  # else its joins would be planned and run once for each of them
+            self.model.derived[name] = self.settle_once(name, self.model.derived[name])
+
+    def settle_once(self, name: str, relation: Relation) -> Relation:
+        if name not in self.settled:
+            self.settled[name] = Relation(settle(relation.df), relation.kinds)
+        return self.settled[name]
 
     def check_caps(self) -> None:
         cap, total = self.limits.facts_per_predicate, self.limits.idb_facts
@@ -118,6 +131,11 @@ class Solver:
         old: dict[str, list[DataFrame]] = {n: [] for n in names}
         delta: dict[str, DataFrame] = {}
         rows = dict.fromkeys(names, 0)
+        for r in rules:
+            if any(a.predicate.name in names for _, a in r.positives()):
+                for _, a in (*r.positives(), *r.negatives()):
+                    if a.predicate.name not in names:
+                        self.settle_once(a.predicate.name, self.relation(a))
         for number in itertools.count():
             if number > self.limits.safety_rounds:
                 raise DatalogError(Code.PAYLOAD_TOO_LARGE, "too many rounds", category="max_depth", deny_reason="DENY_MAX_DEPTH")

@@ -270,3 +270,32 @@ def test_facts_of_dataframes_fail_closed(spark, program, rows, code):
     with pytest.raises(DatalogError) as caught:
         ruleset.solve(edb)
     assert caught.value.code == code and caught.value.category == "malformed_edb"
+
+
+def test_relations_with_several_readers_are_computed_once(spark):
+    """Each step reads the one before twice; planned anew for each reader, the last would hold 2^6 scans."""
+    steps = 6
+    engine = Engine(spark)
+    engine.register_domain("steps", [Predicate("edge", 2, E), *[Predicate(f"leap{n}", 2, I | Q) for n in range(steps + 1)]])
+    rules = "leap0(X, Y) :- edge(X, Y)." + "".join(f" leap{n + 1}(X, Z) :- leap{n}(X, Y), leap{n}(Y, Z)." for n in range(steps))
+    ruleset = engine.load_inline_ruleset("steps", "leaps", rules)
+    edb = ruleset.edb()
+    edb.add_dataframe("edge", spark.range(66).selectExpr("id", "id + 1"))
+    leaps = ruleset.solve(edb).relation(f"leap{steps}")
+    assert rows(leaps) == [(0, 64), (1, 65), (2, 66)]
+    assert leaps._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_recursion_reads_its_inputs_once(spark):
+    """What a recursive rule reads from outside is computed before the first round, not in every one."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(0, 12, 1, 1).selectExpr("id as a", "id + 1 as b").mapInArrow(counted, "a long, b long")
+    r = solved(spark, TC, [], frames=[("edge", edges)])
+    assert r.relation("path").count() == 78
+    assert seen.value <= 36  # the check of facts, the first rule, the recursive one; there are 12 rounds
