@@ -71,6 +71,7 @@ class Ruleset:
     def __init__(self, engine: Engine, domain: str, policy_id: str, registry: Registry, program: Program, sha256: str, mode: str = "enforce"):
         self.engine, self.domain, self.policy_id, self.registry, self.program, self.sha256, self.mode = engine, domain, policy_id, registry, program, sha256, mode
         self.symbols: dict[str, int] = {}
+        self.texts: list[str] = []
         self.whitelist: set[tuple[str, int]] | None = None
         for s in program.symbols:
             self.intern_symbol(s)
@@ -80,16 +81,23 @@ class Ruleset:
 
     def intern_symbol(self, text: str) -> int:
         """A number from 1, by first use."""
-        return self.symbols.setdefault(text, len(self.symbols) + 1)
+        if text not in self.symbols:
+            self.texts.append(text)
+            self.symbols[text] = len(self.texts)
+        return self.symbols[text]
 
     def symbol_text(self, number: int) -> str | None:
-        return next((s for s, n in self.symbols.items() if n == number), None)
+        return self.texts[number - 1] if 0 < number <= len(self.texts) else None
 
     def canonical_sha256(self, stored: str | None = None) -> str:
         return canonical_sha256(self.policy_id, self.domain, self.engine.profile, self.registry, self.program, stored)
 
     def solve(self, edb: Edb) -> SolveResult:
         """Closes the EDB and evaluates; any failure leaves no result."""
+        if self.engine.closed:
+            raise DatalogError(Code.INVALID_STATE, "the engine is closed", category="invalid_state")
+        if edb.ruleset is not self:
+            raise DatalogError(Code.INVALID_ARGUMENT, "the EDB belongs to another ruleset", "create it with this ruleset's edb()", category="invalid_argument")
         base = edb.finalize()
         for rows in edb.rows.values():
             for fact in rows:
@@ -145,6 +153,12 @@ class SolveResult:
         predicate = self.ruleset.registry.find(name)
         return (self.base[name] if name in self.base else self._derived(predicate)).df.distinct()
 
+    def canonical(self, name: str) -> DataFrame:
+        """relation(name) in canonical order: term by term by kind, then by value; symbols by their text, as DataFrames of any
+        size have no order of interning."""
+        df = self.relation(name)
+        return df.orderBy(*df.columns)
+
     def count(self, name: str) -> int:
         return self.relation(name).count()
 

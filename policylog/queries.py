@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policylog import surface_queries
 from policylog.engine import Engine, SolveResult
-from policylog.errors import DatalogError
 from policylog.functions.decision import decision_column
 from policylog.limits import LARGE, SMALL
 from policylog.registry import Kind, Predicate, Registry
+from policylog.surface_queries import status
 
 #: Base predicates: table and the expressions of its terms. Prices are floored before the cast, as casts round differently.
 BASE: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -88,7 +89,7 @@ PR, RING, HOP, TREE = _view("price", "o", "v"), _view("ring", "a", "b"), _view("
 PROGRAMS: dict[str, Query] = {
     "scan_project": Query("big(K) :- ord(K, _, _, _).", {"big": 1}, "big", ("o",), f"SELECT DISTINCT o FROM {O}"),
     "const_select": Query('asia(N) :- nation(N, _, R), region(R, "ASIA").', {"asia": 1}, "asia", ("n",), f"SELECT DISTINCT n FROM {N} JOIN {R} USING (r) WHERE rn = 'ASIA'"),
-    "self_equal": Query("loop(X) :- step(X, X). step(X, Y) :- tree(X, Y). step(X, X) :- tree(X, 1).", {"loop": 1, "step": 2}, "loop", ("x",), f"SELECT DISTINCT p AS x FROM {TREE} WHERE q = 1 OR p = q"),
+    "self_equal": Query("loop(X) :- step(X, X). step(X, Y) :- tree(X, Y). step(X, X) :- part(X, _, _, 15).", {"loop": 1, "step": 2}, "loop", ("x",), f"SELECT p AS x FROM {TREE} WHERE p = q UNION SELECT p FROM {P} WHERE z = 15"),
     "join3": Query("seat(C, M, R) :- customer(C, N, _), nation(N, M, K), region(K, R).", {"seat": 3}, "seat", ("c", "nn", "rn"), f"SELECT DISTINCT c, nn, rn FROM {C} JOIN {N} USING (n) JOIN {R} USING (r)"),
     "cross_product": Query("pair(A, B) :- region(A, _), region(B, _).", {"pair": 2}, "pair", ("a", "b"), f"SELECT DISTINCT region.r AS a, x.r AS b FROM {R}, (SELECT r_regionkey::BIGINT AS r FROM region) x"),
     "self_join": Query("same(A, B) :- supplier(A, N), supplier(B, N), A < B.", {"same": 2}, "same", ("a", "b"), f"SELECT DISTINCT supplier.s AS a, x.s AS b FROM {S} JOIN (SELECT s_suppkey AS s, s_nationkey::BIGINT AS n FROM supplier) x USING (n) WHERE supplier.s < x.s"),
@@ -105,9 +106,9 @@ PROGRAMS: dict[str, Query] = {
     "union_rules": Query("key(K) :- customer(K, _, _). key(K) :- supplier(K, _). key(K) :- part(K, _, _, _).", {"key": 1}, "key", ("k",), f"SELECT c AS k FROM {C} UNION SELECT s FROM {S} UNION SELECT p FROM {P}"),
     "intersect_rules": Query("both(K) :- customer(K, _, _), supplier(K, _).", {"both": 1}, "both", ("k",), f"SELECT c AS k FROM {C} INTERSECT SELECT s FROM {S}"),
     "difference_rules": Query("only(K) :- customer(K, _, _), not(sup(K)). sup(K) :- supplier(K, _).", {"only": 1, "sup": 1}, "only", ("k",), f"SELECT c AS k FROM {C} EXCEPT SELECT s FROM {S}"),
-    "anti_edb": Query("idle(C) :- customer(C, N, _), not(hop(N, N)), not(supplier(C, N)).", {"idle": 1}, "idle", ("c",), f"SELECT DISTINCT c FROM {C} ANTI JOIN (SELECT s_suppkey AS c, s_nationkey::BIGINT AS n FROM supplier) x USING (c, n)"),
+    "anti_edb": Query("idle(C) :- customer(C, N, _), not(ring(N, 5)), not(supplier(C, N)).", {"idle": 1}, "idle", ("c",), f"SELECT DISTINCT c FROM {C} ANTI JOIN (SELECT s_suppkey AS c, s_nationkey::BIGINT AS n FROM supplier) x USING (c, n) WHERE n NOT IN (SELECT a FROM {RING} WHERE b = 5)"),
     "anti_policy": Query('banned("BUILDING"). ok(C) :- customer(C, _, G), not(banned(G)).', {"ok": 1}, "ok", ("c",), f"SELECT DISTINCT c FROM {C} WHERE seg <> 'BUILDING'", {"banned": 1}),
-    "anti_idb": Query("buyer(C) :- ord(_, C, _, _). idle(C) :- customer(C, _, _), not(buyer(C)).", {"buyer": 1, "idle": 1}, "idle", ("c",), f"SELECT DISTINCT c FROM {C} ANTI JOIN {O} USING (c)"),
+    "anti_idb": Query('urgent(C) :- ord(_, C, "P", "1-URGENT"). idle(C) :- customer(C, _, _), not(urgent(C)).', {"urgent": 1, "idle": 1}, "idle", ("c",), f"SELECT DISTINCT c FROM {C} WHERE c NOT IN (SELECT c FROM {O} WHERE st = 'P' AND pr = '1-URGENT')"),
     "strata3": Query("a(C) :- ord(_, C, _, _). b(C) :- customer(C, _, _), not(a(C)). d(C) :- customer(C, _, _), not(b(C)), not(e(C)). e(C) :- supplier(C, _).", {"a": 1, "b": 1, "d": 1, "e": 1}, "d", ("c",),
                      f"SELECT DISTINCT c FROM {C} SEMI JOIN {O} USING (c) WHERE c NOT IN (SELECT s_suppkey FROM supplier)"),
     "policy_facts": Query('fav("BUILDING", 1). fav("MACHINERY", 2). top(C, K) :- customer(C, _, G), fav(G, K).', {"top": 2}, "top", ("c", "k"), f"SELECT DISTINCT c, k FROM {C} JOIN (VALUES ('BUILDING', 1::BIGINT), ('MACHINERY', 2::BIGINT)) f(seg, k) USING (seg)", {"fav": 2}),
@@ -159,27 +160,19 @@ def decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select("c_custkey", decision_column(F.col("deny"), F.col("reduce"), F.col("allow")).alias("decision"))
 
 
-def _status(name: str, attempt: Callable[[], object]) -> tuple:
-    try:
-        attempt()
-        return (name, True, 0, "none")
-    except DatalogError as e:
-        return (name, False, int(e.code), e.category if e.category != "none" else e.diagnostic.code)
-
-
 def fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solves and rule texts that must fail as a whole, and two that must not."""
     run = lambda program, derived, **more: lambda: solve(spark, sf_dir, program, derived, **more).derived_fact_count
     rows = [
-        _status("kinds", run('p(N) :- nation(N, M, _), M > 0.', {"p": 1})),
-        _status("overflow", run("p(N) :- nation(N, _, _), N * 2147483647 * 2147483647 * 2147483647 > 0.", {"p": 1})),
-        _status("guarded", run("p(N) :- nation(N, M, _), not(nation(N, M, N)), N >= 0.", {"p": 1})),
-        _status("depth", run("p(Y) :- ring(0, Y). p(Z) :- p(Y), ring(Y, Z).", {"p": 1}, limits=SMALL)),
-        _status("shallow", run("p(Y) :- hop(0, Y). p(Z) :- p(Y), hop(Y, Z).", {"p": 1}, limits=SMALL)),
-        _status("capacity", run("p(A, B, C) :- region(A, _), region(B, _), region(C, _).", {"p": 3}, limits=SMALL)),
-        _status("unsafe", run("p(X) :- nation(Y, _, _).", {"p": 1})),
-        _status("cycle", run("p(X) :- nation(X, _, _), not(q(X)). q(X) :- nation(X, _, _), not(p(X)).", {"p": 1, "q": 1})),
-        _status("syntax", run("p(X) :- nation(X, _, _)", {"p": 1})),
+        status("kinds", run('p(N) :- nation(N, M, _), M > 0.', {"p": 1})),
+        status("overflow", run("p(N) :- nation(N, _, _), N * 2147483647 * 2147483647 * 2147483647 > 0.", {"p": 1})),
+        status("guarded", run("p(N) :- nation(N, M, _), not(nation(N, M, N)), N >= 0.", {"p": 1})),
+        status("depth", run("p(Y) :- ring(0, Y). p(Z) :- p(Y), ring(Y, Z).", {"p": 1}, limits=SMALL)),
+        status("shallow", run("p(Y) :- hop(0, Y). p(Z) :- p(Y), hop(Y, Z).", {"p": 1}, limits=SMALL)),
+        status("capacity", run("p(A, B, C) :- region(A, _), region(B, _), region(C, _).", {"p": 3}, limits=SMALL)),
+        status("unsafe", run("p(X) :- nation(Y, _, _).", {"p": 1})),
+        status("cycle", run("p(X) :- nation(X, _, _), not(q(X)). q(X) :- nation(X, _, _), not(p(X)).", {"p": 1, "q": 1})),
+        status("syntax", run("p(X) :- nation(X, _, _)", {"p": 1})),
     ]
     return spark.createDataFrame(rows, "name string, ok boolean, code int, category string")
 
@@ -191,17 +184,18 @@ def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = solve(spark, sf_dir, "up(X, Y) :- hop(X, Y). up(X, Z) :- up(X, Y), hop(Y, Z).", {"up": 2}, limits=LARGE)
-    rows = [(n.index, n.rule_id, n.fact[0], n.deny_reason, n.depth, [str(c.value) for c in n.fact[1]], n.parent) for n in result.proof()]
-    return spark.createDataFrame(rows, "idx int, rule_id int, predicate string, deny_reason string, depth int, fact array<string>, parent int")
+    rows = [(n.index, n.rule_id, n.fact[0], n.deny_reason, n.depth, ",".join(str(c.value) for c in n.fact[1]), -1 if n.parent is None else n.parent) for n in result.proof()]
+    return spark.createDataFrame(rows, "idx long, rule_id int, predicate string, deny_reason string, depth long, fact string, parent long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Programs, what else results offer, and the interface around solving (surface_queries.py)."""
     own = (contains_batch, enumerate_capacity, derived_count, decision, fail_closed, explain_text, proof)
-    return {n: _run(q) for n, q in PROGRAMS.items()} | {f.__name__: f for f in own}
+    return {n: _run(q) for n, q in PROGRAMS.items()} | {f.__name__: f for f in own} | surface_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: q.sql for n, q in PROGRAMS.items() if q.sql} | {
+    return {n: q.sql for n, q in PROGRAMS.items() if q.sql} | surface_queries.oracle_sql() | {
         "contains_batch": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS contained FROM customer",
         "enumerate_capacity": "SELECT least(10, count(DISTINCT o_custkey)) AS listed, count(DISTINCT o_custkey) AS total, count(DISTINCT o_custkey) > 10 AS truncated FROM orders",
         "derived_count": "SELECT (SELECT count(DISTINCT c_custkey) FROM customer) + (SELECT count(DISTINCT n_nationkey) FROM nation) AS n",
@@ -213,4 +207,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (VALUES ('kinds', false, -2::INTEGER, 'comparison_type_error'), ('overflow', false, -2, 'comparison_type_error'), ('guarded', true, 0, 'none'),
                 ('depth', false, -12, 'max_depth'), ('shallow', true, 0, 'none'), ('capacity', false, -12, 'idb_overflow'), ('unsafe', false, -2, 'PARSER_UNSAFE_VARIABLE'),
                 ('cycle', false, -2, 'POLICY_NOT_STRATIFIABLE'), ('syntax', false, -2, 'PARSER_EXPECTED_DOT')) t(name, ok, code, category)""",
+        "explain_text": """
+            SELECT line::BIGINT AS line, text FROM (VALUES (0, 'POLICYLOG-v2'), (1, 'document=why-true'), (2, 'status=complete'), (3, 'steps=3 premises=5'),
+                (4, 'step=0 rule=1 fact="up"(0,5)'), (5, 'premise=0 body=0 kind=positive origin=edb fact="hop"(0,5) parent=-'),
+                (6, 'step=1 rule=2 fact="up"(0,10)'), (7, 'premise=1 body=0 kind=positive origin=idb fact="up"(0,5) parent=0'), (8, 'premise=2 body=1 kind=positive origin=edb fact="hop"(5,10) parent=-'),
+                (9, 'step=2 rule=2 fact="up"(0,15)'), (10, 'premise=3 body=0 kind=positive origin=idb fact="up"(0,10) parent=1'), (11, 'premise=4 body=1 kind=positive origin=edb fact="hop"(10,15) parent=-'),
+                (12, 'result-step=2')) t(line, text)""",
+        "proof": """
+            SELECT idx, (CASE depth WHEN 0 THEN 1 ELSE 2 END)::INTEGER AS rule_id, 'up' AS predicate, 'DENY_NONE' AS deny_reason, depth,
+                n || ',' || (n + 5 * (depth + 1)) % 25 AS fact, CASE depth WHEN 0 THEN -1 ELSE idx - 25 END AS parent
+            FROM (SELECT n_nationkey::BIGINT AS n, depth, depth * 25 + n_nationkey AS idx FROM nation, (SELECT unnest(range(0, 3)) AS depth) d) s WHERE idx < 64""",
     }

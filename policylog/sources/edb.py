@@ -95,6 +95,31 @@ class Edb:
         if batch:
             self.rows.setdefault(name, {}).update(dict.fromkeys(batch))
 
+    def intern_symbol(self, text: str) -> int:
+        """The ruleset's number of a symbol, for add_symbol_ids."""
+        if self.final:
+            raise DatalogError(Code.INVALID_STATE, "the EDB is closed", "create another one with ruleset.edb()")
+        return self.ruleset.intern_symbol(self._check(text).value)
+
+    def _texts(self, name: str, ids: tuple[int, ...]) -> tuple[str, ...]:
+        self._predicate(name, len(ids))
+        texts = tuple(self.ruleset.symbol_text(i) for i in ids)
+        if None in texts:
+            raise DatalogError(Code.INVALID_ARGUMENT, "a number without a symbol", "intern symbols first")
+        return texts
+
+    def add_symbol_ids(self, name: str, *ids: int) -> None:
+        """A fact of symbols by the numbers that intern_symbol gave."""
+        self.add_fact(name, *self._texts(name, ids))
+
+    def add_symbol_id_facts(self, name: str, facts: Iterable[tuple[int, ...]]) -> None:
+        """add_facts by numbers: all or none."""
+        self.add_facts(name, [self._texts(name, f) for f in facts])
+
+    def clear(self) -> None:
+        """Empty and open again, also after solving; results that were made of it stay as they are."""
+        self.rows, self.frames, self.final = {}, {}, False
+
     def add_dataframe(self, name: str, df: DataFrame) -> None:
         """The rows of a DataFrame as facts, by position; repeats are fine. Columns must be integral, string, boolean or the
         mixed struct. A null or a string over the limit fails the solve: a policy must not lose facts in silence."""

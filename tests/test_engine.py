@@ -299,3 +299,29 @@ def test_recursion_reads_its_inputs_once(spark):
     r = solved(spark, TC, [], frames=[("edge", edges)])
     assert r.relation("path").count() == 78
     assert seen.value <= 36  # the check of facts, the first rule, the recursive one; there are 12 rounds
+
+
+def test_numbers_of_symbols_and_clearing(spark):
+    engine = Engine(spark)
+    engine.register_domain("d", domain)
+    ruleset = engine.load_inline_ruleset("d", "x", TC)
+    edb = ruleset.edb()
+    a, b = edb.intern_symbol("a"), edb.intern_symbol("b")
+    assert (a, b, edb.intern_symbol("a")) == (1, 2, 1) and ruleset.symbol_text(b) == "b" and ruleset.symbol_text(0) is None
+    edb.add_symbol_id_facts("edge", [(a, b), (b, a), (a, b)])
+    with pytest.raises(DatalogError) as e:
+        edb.add_symbol_id_facts("edge", [(b, b), (a, 9)])
+    assert e.value.code == Code.INVALID_ARGUMENT
+    before = ruleset.solve(edb)
+    assert rows(before.canonical("path")) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+    with pytest.raises(DatalogError) as e:
+        edb.intern_symbol("c")
+    assert e.value.code == Code.INVALID_STATE
+    edb.clear()
+    edb.add_symbol_ids("edge", a, a)
+    assert rows(ruleset.solve(edb).relation("path")) == [("a", "a")] and before.count("path") == 4
+
+
+def test_canonical_order_is_by_kind_then_value(spark):
+    r = solved(spark, "p(X) :- val(X).", [("val", v) for v in (True, 10, "b", 9, "a", False)])
+    assert [next(x for x in v[0][1:] if x is not None) for v in r.canonical("p").collect()] == ["a", "b", 9, 10, False, True]
