@@ -235,6 +235,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 #: Bits in which the fingerprints of first candidates may differ; the share of the texts whose shingles tell which are common,
 #: and how many of these are kept.
 NEAR_BITS, SAMPLED, COMMON = 4, 8, 1_000_000
+ODD_BITS = 1024
 _PAIRS = 1 << 20
 _SETS = 1_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -309,12 +310,19 @@ def most_shared(left: bytes, right: bytes) -> int:
     return int(np.minimum(a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)).sum())
 
 
-_DESCRIBED = "doc_id long, t long, fp long, sid long, n int, keys array<long>, sketch binary"
+def odd_sketch(own: np.ndarray) -> bytes:
+    """For each of ODD_BITS buckets by the high bits whether it holds an odd number of hashes. Two sets' sketches differ in
+    no more bits than there are hashes that only one of them holds, however many both hold."""
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(64 - ODD_BITS.bit_length() + 1)).astype(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+_DESCRIBED = "doc_id long, t long, fp long, sid long, n int, keys array<long>, sketch binary, odd binary"
 
 
 def _described(shingle: int, similarity: float, common):
     """doc_id, t (of the text), fp, sid (of the set), and where a task meets a set first: its size, its rarest shingles, so
-    many that two sets of the similarity share one of them, and its sketch."""
+    many that two sets of the similarity share one of them, and its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
@@ -323,14 +331,14 @@ def _described(shingle: int, similarity: float, common):
         known, held = common.value
         seen: set[int] = set()
         for batch in batches:
-            fps, sids, sizes, keys, sketches = [], [], [], [], []
+            fps, sids, sizes, keys, sketches, odds = [], [], [], [], [], []
             for text in batch.column(2):
                 own = shingle_set(text.as_py(), shingle)
                 sid = int(np.uint64(digest(own.tobytes(), SEED)).view(np.int64))
                 fps.append(set_fingerprint(own))
                 sids.append(sid)
                 if sid in seen or not len(own):
-                    sizes.append(None), keys.append(None), sketches.append(None)
+                    sizes.append(None), keys.append(None), sketches.append(None), odds.append(None)
                     continue
                 if len(seen) >= _SETS:
                     seen.clear()
@@ -342,7 +350,8 @@ def _described(shingle: int, similarity: float, common):
                 sizes.append(len(own))
                 keys.append(own[np.lexsort((own, rank))][: len(own) - _share(similarity, len(own)) + 1])
                 sketches.append(sketch(own))
-            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                odds.append(odd_sketch(own))
+            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(odds, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, _DESCRIBED.replace(",", "").split()[::2])
 
     return run
@@ -370,7 +379,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
     held: list[list[np.ndarray]] = []
     rows = 0
     for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         rows += batch.num_rows
         if rows > 4 * _CHUNK and held[0][0][0] != held[-1][0][-1]:
             columns = [np.concatenate(c) for c in zip(*held)]
@@ -410,13 +419,35 @@ def _met(similarity: float):
     return run
 
 
+def _few_odd(similarity: float, n: np.ndarray, odd: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether the odd sketches of rows u and v leave room for the similarity."""
+    good = np.empty(len(u), bool)
+    for at in range(0, len(u), _CHUNK):
+        a, b = u[at : at + _CHUNK], v[at : at + _CHUNK]
+        total = n[a].astype(np.int64) + n[b]
+        shared = (total - np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)) // 2
+        good[at : at + _CHUNK] = shared >= np.ceil(similarity / (1 + similarity) * total - 1e-9)
+    return good
+
+
+def _unmerged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of keys that sets of several labels hold; rows are sorted by key and label."""
+    release_caches("words")
+    for columns in _whole_groups(batches):
+        first, end = _edges(columns[0])
+        several = columns[1][first] != columns[1][end - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], ["key", "label", "sid", "n", "pos"])
+
+
 def _cross_pairs(similarity: float):
     """All pairs of a key's sets that are not linked yet and that can be similar; rows are sorted by key and label. A pair's
-    first common shingle bounds what they share by what is left of both, so no pair of the similarity is passed over."""
+    first common shingle bounds what they share by what is left of both, and their odd sketches by what only one of them
+    holds, so no pair of the similarity is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches("words")
-        for key, label, sid, n, pos in _whole_groups(batches):
+        for key, label, sid, n, pos, odd in _whole_groups(batches):
+            odd = np.frombuffer(b"".join(odd), np.uint64).reshape(len(key), -1)
             _, end = _edges(key)
             own = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
             own = np.repeat(np.append(own[1:], len(key)), np.diff(np.append(own, len(key))))  # where the row's label ends
@@ -431,6 +462,8 @@ def _cross_pairs(similarity: float):
                     u = np.repeat(np.arange(at, stop), take)
                     v = own[u] + skip + np.arange(len(u)) - np.repeat(np.cumsum(take) - take, take)
                     good = _can_be(similarity, n, pos, u, v)
+                    u, v = u[good], v[good]
+                    good = _few_odd(similarity, n, odd, u, v)
                     a, b = sid[u[good]], sid[v[good]]
                     pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
@@ -508,7 +541,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
 
     roots = connected_components(links)
     labelled = met.join(roots, F.col("sid") == F.col("node"), "left").select("key", F.coalesce("root", "sid").alias("label"), "sid", "n", "pos")
-    rest = labelled.repartition(parts, "key").sortWithinPartitions("key", "label").mapInArrow(_cross_pairs(similarity), "u long, v long").distinct()
+    open_rows = labelled.repartition(parts, "key").sortWithinPartitions("key", "label").mapInArrow(_unmerged, "key long, label long, sid long, n int, pos int")
+    odd = made.where("odd is not null").select("sid", "odd").dropDuplicates(["sid"])
+    rest = open_rows.join(odd, "sid").select("key", "label", "sid", "n", "pos", "odd").repartition(parts, "key").sortWithinPartitions("key", "label")
+    rest = rest.mapInArrow(_cross_pairs(similarity), "u long, v long").distinct()
     return made, settle(links.unionByName(_similar(rest, made, texts, shingle, similarity)))
 
 

@@ -1,6 +1,6 @@
 import random
 
-from policylog.llm.simhash import drop_near_duplicates, most_shared, near_duplicates, shingle_set, shingles_of, sketch, words_of
+from policylog.llm.simhash import drop_near_duplicates, most_shared, near_duplicates, odd_sketch, shingle_set, shingles_of, sketch, words_of
 
 
 def brute(texts, n=5, similarity=0.8):
@@ -85,6 +85,10 @@ def test_sketches_bound_what_sets_share():
             a, b = (shingle_set(" ".join(x), 5) for x in (own, other))
             shared = len(set(a.tolist()) & set(b.tolist()))
             assert shared <= most_shared(sketch(a), sketch(b)) <= min(len(a), len(b))
+            differ = (int.from_bytes(odd_sketch(a)) ^ int.from_bytes(odd_sketch(b))).bit_count()
+            only_one = len(a) + len(b) - 2 * shared
+            assert differ <= only_one and differ % 2 == only_one % 2
+            assert only_one > 60 or differ >= only_one - 16
     assert most_shared(bytes([255] * 16), bytes([9] * 16)) == 9 * 16
 
 
