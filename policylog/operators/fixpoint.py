@@ -4,7 +4,8 @@ Unlimited programs are evaluated by strongly connected groups of predicates. Gro
 stay lazy: they are plain unions of joins with one distinct, and the optimiser sees through all of them. Those that several
 atoms read are computed once. Recursive groups run a semi-naive loop: each round joins the facts that are new since the last
 round, old facts elsewhere, and removes what is known. Every round's new facts are checkpointed reliably, which counts them
-and cuts the plan at once; what the rounds read from outside is computed once, before the first of them.
+and cuts the plan at once; what the rounds read from outside is computed once and as a set, before the first of them. A long
+recursion goes on in leaps of 1, 2, 4, ... steps where its rule allows that (leaps.py).
 
 Programs under fact or depth limits are evaluated in rounds over all predicates of a stratum together, because the depth
 limit counts those rounds.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from policylog.errors import Code, DatalogError
 from policylog.limits import Limits
-from policylog.operators.rules import Derivation, KindTable, Relation, columns, derive, empty, infer_kinds
+from policylog.operators.leaps import Step, step_of
+from policylog.operators.rules import Derivation, KindTable, Relation, columns, derive, empty, infer_kinds, join_size
 from policylog.operators.storage import settle
 from policylog.plans.analyze import components
 from policylog.plans.ir import Atom, Program, Rule
@@ -32,6 +34,12 @@ from policylog.plans.ir import Atom, Program, Rule
 SCAN_KNOWN = 1_000_000
 #: Rounds after which the pieces of a growing relation are merged into one checkpoint.
 MERGE_EVERY = 8
+#: Rounds after which a recursion counts as long, and goes on in leaps if it can.
+LEAP_AFTER = 4
+#: Pairs of one step that are still made, as a multiple of the facts that they are made of and that are known by then.
+MOST_PAIRS = 4
+#: Of the known facts, the share that new ones have while they are still compared with all in one join.
+FEW_NEW = 8
 
 
 @dataclass
@@ -115,7 +123,9 @@ class Solver:
 
     def settle_once(self, name: str, relation: Relation) -> Relation:
         if name not in self.settled:
-            self.settled[name] = Relation(settle(relation.df), relation.kinds)
+            # a set: repeated base facts would multiply the rows of every join with them
+            df = settle(relation.df.distinct() if name in self.base else relation.df)
+            self.settled[name] = Relation(df, relation.kinds)
         return self.settled[name]
 
     def check_caps(self) -> None:
@@ -136,7 +146,8 @@ class Solver:
                 for _, a in (*r.positives(), *r.negatives()):
                     if a.predicate.name not in names:
                         self.settle_once(a.predicate.name, self.relation(a))
-        for number in itertools.count():
+        number = 0
+        while True:
             if number > self.limits.safety_rounds:
                 raise DatalogError(Code.PAYLOAD_TOO_LARGE, "too many rounds", category="max_depth", deny_reason="DENY_MAX_DEPTH")
             found: dict[str, list[Derivation]] = {n: [] for n in names}
@@ -178,9 +189,52 @@ class Solver:
                     merged = settle(_union(parts[name][:-1]).coalesce(max(1, parts[name][0].rdd.getNumPartitions())))
                     parts[name] = [merged, df]
                     old[name] = [merged]
+            if number == LEAP_AFTER and len(names) == 1 and (step := step_of(rules, names[0], self.kinds)):
+                number = self.leap(step, names[0], parts[names[0]], delta, rows, number)
+                if not delta:
+                    break
+            number += 1
         for name in names:
             self.model.derived[name] = all_parts(name, parts[name])
 
+    def pairs(self, step: Step, known: int) -> DataFrame | None:
+        """All pairs of one step; None where they or those of more steps could be far more than the facts."""
+        atoms = [a for _, a in step.rule.positives()]
+        if len(atoms) == 2:
+            room = known + sum(self.relation(a).df.count() for a in atoms)
+            if join_size(step.rule, lambda _, a: self.relation(a), step.kinds) > MOST_PAIRS * room:
+                return None
+        facts = derive(self.spark, step.rule, lambda _, a: self.relation(a), step.kinds).facts
+        if facts is None:
+            return None
+        pairs = settle(facts.distinct())
+        return pairs if step.one_to_many(pairs, pairs.count()) else None
+
+    def leap(self, step: Step, name: str, parts: list[DataFrame], delta: dict[str, DataFrame], rows: dict[str, int], number: int) -> int:
+        """Goes on after round number, of which delta has the new facts: a leap takes all facts since by as many steps as
+        led to them and one more. Adds to parts; gives the number of the last round that it stands for, and clears delta
+        when nothing is left. Otherwise (no pairs, or the next leap may go beyond safety_rounds) rounds go on from delta."""
+        size, done = 1, number
+        if done + 1 > self.limits.safety_rounds or (pairs := self.pairs(step, rows[name])) is None:
+            return done
+        since, arity, few = [delta[name]], len(self.kinds[name]), False
+        while done + size <= self.limits.safety_rounds:
+            df = step.ahead(_union(since), pairs).distinct()
+            new = settle(_minus(df, _union(parts), arity, rows[name] if few else 0))
+            found = new.count()
+            if not found:
+                delta.clear()
+                return done
+            parts.append(new)
+            since.append(new)
+            rows[name] += found
+            few = found * FEW_NEW < rows[name]
+            done += size
+            self.model.rounds = max(self.model.rounds, done)
+            pairs, size = settle(step.twice(pairs)), size * 2
+        delta[name] = _union(since)
+        return done
+
     def in_rounds(self, rules: tuple[Rule, ...]) -> None:
         """All predicates of the stratum at once; a round sees only facts of earlier rounds. Without negation anywhere the
         last round that may bring facts is limits.fixpoint_depth - 2, with it one more, and that per stratum."""

@@ -140,6 +140,18 @@ def derive(spark: SparkSession, rule: Rule, scan: Callable[[int, Atom], Relation
     return Derivation(rows.select(*made or [F.lit(True).alias(UNIT)]), failures)
 
 
+def join_size(rule: Rule, scan: Callable[[int, Atom], Relation], table: KindTable) -> float:
+    """How many rows the join of the rule's two atoms has, without making them."""
+    want, sides = variable_kinds(rule, table), []
+    shared = sorted(set.intersection(*(a.variables() for _, a in rule.positives())))
+    for i, atom in rule.positives():
+        part, names = _scan(atom, scan(i, atom), want, f"l{i}_")
+        sides.append(part.groupBy(*[F.col(names[v]).alias(f"{i}_{v}") for v in shared]).agg(F.count(F.lit(1)).cast("double").alias(f"n{i}")))
+    (i, _), (j, _) = rule.positives()
+    both = sides[0].join(sides[1], _all(sides[0][f"{i}_{v}"] == sides[1][f"{j}_{v}"] for v in shared))
+    return both.agg(F.sum(F.col(f"n{i}") * F.col(f"n{j}"))).first()[0] or 0.0
+
+
 def _all(tests):
     return functools.reduce(operator.and_, tests)
 
